@@ -45,7 +45,8 @@ def bin_index(value: Column, edges: Sequence[float]) -> Column:
     """Bin of a value inside the edges: half-open bins, the last one closed."""
     bins, low, high = len(edges) - 1, edges[0], edges[-1]
     step = (high - low) / bins
-    guess = F.least(F.floor((value - F.lit(low)) / F.lit(high - low) * F.lit(bins)).cast("int"), F.lit(bins - 1))
+    guess = F.floor((value - F.lit(low)) / F.lit(high - low) * F.lit(bins)).cast("int")
+    guess = F.when(guess >= bins, bins - 1).otherwise(guess)
     lower, upper = guess * F.lit(step) + F.lit(low), (guess + 1) * F.lit(step) + F.lit(low)
     return guess + F.when(value < lower, -1).when((value >= upper) & (guess < bins - 1), 1).otherwise(0)
 

@@ -64,7 +64,7 @@ def pearson_pairs(df: DataFrame, pairs: Mapping[tuple[str, str], tuple[Column, C
         both = x.isNotNull() & y.isNotNull()
         spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
         r = F.try_divide(F.covar_pop(x, y), spread)
-        measures += [F.count_if(both).alias(f"n{i}"), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias(f"r{i}")]
+        measures += [F.count_if(both).alias(f"n{i}"), _bounded(r).alias(f"r{i}")]
     if not pairs:
         return df.sparkSession.createDataFrame([], SCHEMA)
     wide = df.agg(*measures)
@@ -73,6 +73,10 @@ def pearson_pairs(df: DataFrame, pairs: Mapping[tuple[str, str], tuple[Column, C
     return long.select("x", "y", F.when(F.col("n") >= MIN_PAIRS, F.col("r")).alias("r"), "n")
 
 
+def _bounded(r: Column) -> Column:
+    return F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
+
+
 def pearson_blocks(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Many columns: each task turns its rows into sums of products, and the sums are added up.
 
@@ -113,7 +117,7 @@ def pearson_blocks(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return added.select(
         F.element_at(label, F.col("i") + 1).alias("x"),
         F.element_at(label, F.col("j") + 1).alias("y"),
-        F.when(n >= MIN_PAIRS, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"),
+        F.when(n >= MIN_PAIRS, _bounded(r)).alias("r"),
         n.cast("bigint").alias("n"),
     )
 
