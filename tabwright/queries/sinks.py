@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabwright.operators.comparison import tidy
 from tabwright.plans.job import run_job
 from tabwright.plans.pipeline import run_pipeline
 from tabwright.queries.cleaning import CLEANING_STEPS, RUN_CTES
-from tabwright.queries.views import table, view, with_views
+from tabwright.queries.views import table, with_views
 from tabwright.session import Scratch, configure
 from tabwright.sinks.writers import schema_table, write_table
 
@@ -36,9 +37,29 @@ register(
     _write_csv,
     with_views(f"{RUN_CTES} SELECT cust_id, round(price, 6) AS price, priority, status, CAST(day_text AS DATE) AS day FROM s7", "dirty_orders"),
 )
+def _schema_table(spark, folder):
+    """Schema of the written result, with the cells each column holds."""
+    result = run_pipeline(table(spark, folder, "dirty_orders"), {"steps": CLEANING_STEPS})
+    path = Scratch(spark).path("cleaned")
+    write_table(result.df, path)
+    written = spark.read.parquet(path)
+    names = written.columns
+    valid = tidy(written.agg(*[F.count(name).alias(f"v{i}") for i, name in enumerate(names)]), names, "valid", "v")
+    return schema_table(written).join(valid, "column")
+
+
+_TYPES = {"cust_id": "bigint", "price": "double", "price_text": "double", "priority": "string", "day_text": "timestamp", "status": "string"}
 register(
     "schema_table",
-    lambda spark, folder: schema_table(view(spark, folder, "dirty_orders")),
+    _schema_table,
+    with_views(
+        RUN_CTES
+        + " "
+        + " UNION ALL ".join(
+            f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS type, count({c}) AS valid FROM s7""" for i, (c, t) in enumerate(_TYPES.items())
+        ),
+        "dirty_orders",
+    ),
 )
 
 
