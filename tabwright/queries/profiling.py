@@ -248,16 +248,15 @@ register(
 )
 
 
-def _cleaned(spark, folder):
-    before = view(spark, folder, "dirty_orders")
-    after = run_pipeline(before, {"steps": CLEANING_STEPS}).df
-    roles = dict(_profile(spark, folder).roles)
-    return before, after, roles, roles_after(roles, after.columns, CLEANING_STEPS)
+def _versions(spark, folder):
+    """Profiles of the orders before and after cleaning."""
+    before = _profile(spark, folder)
+    after = run_pipeline(before.df, {"steps": CLEANING_STEPS}).df
+    return before, Profile(after, roles_after(before.roles, after.columns, CLEANING_STEPS))
 
 
 def _compare(spark, folder):
-    before, after, roles, later = _cleaned(spark, folder)
-    rows = compare_profiles(Profile(before, roles), Profile(after, later))
+    rows = compare_profiles(*_versions(spark, folder))
     return _rows(
         spark, rows, "metric string, before double, after double, difference double", ["before", "after", "difference"]
     )
@@ -278,10 +277,10 @@ register("compare_profiles", _compare, _compare_sql())
 
 
 def _issues_after(spark, folder):
-    before, after, roles, later = _cleaned(spark, folder)
+    before, after = _versions(spark, folder)
     rows = [
         (phase, i["column"], i["kind"], i["count"])
-        for phase, profile in (("before", Profile(before, roles)), ("after", Profile(after, later)))
+        for phase, profile in (("before", before), ("after", after))
         for i in profile.issues
     ]
     return spark.createDataFrame(rows, "phase string, column string, kind string, count bigint")
