@@ -12,12 +12,14 @@ from tabwright.functions.text import strip
 # The accepted number grammar. Spark's own cast also takes "1d", "NaN" and the like.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INTEGER = r"^[+-]?[0-9]+$"
-INFINITY = r"(?i)^[+-]?inf(inity)?$"
+INFINITY = r"^[+-]?(?i:inf(inity)?)$"
 
 
 def finite(column: Column) -> Column:
-    """NaN and both infinities become null."""
-    return F.when(~F.isnan(column) & (F.abs(column) != F.lit(float("inf"))), column)
+    """NaN and both infinities become null. ``nullif`` evaluates its argument once, however long it is."""
+    for value in (float("nan"), float("inf"), float("-inf")):
+        column = F.nullif(column, F.lit(value))
+    return column
 
 
 def number_text(column: Column, decimal: str = ".", thousands: str = "") -> Column:
@@ -32,8 +34,10 @@ def number_text(column: Column, decimal: str = ".", thousands: str = "") -> Colu
 
 
 def parse_number(column: Column, decimal: str = ".", thousands: str = "") -> Column:
-    text = number_text(column, decimal, thousands)
-    return finite(F.when(text.rlike(NUMBER), text.try_cast("double")))
+    number = F.regexp_extract(number_text(column, decimal, thousands), NUMBER, 0).try_cast("double")
+    for value in (float("inf"), float("-inf")):
+        number = F.nullif(number, F.lit(value))
+    return number
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -62,5 +66,5 @@ def as_number(column: Column, dtype: T.DataType) -> Column:
 
 def null_for_nan(column: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(column), column)
+        return F.nullif(column, F.lit(float("nan")).cast(dtype))
     return column

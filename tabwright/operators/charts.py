@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import numbers
 from tabwright.functions.names import data_columns, dtype_of, q
-from tabwright.operators.comparison import tidy
 from tabwright.operators.correlation import correlation
-from tabwright.operators.counts import category_counts, daily_counts
+from tabwright.operators.counts import value_counts
 from tabwright.operators.order_stats import exact_quantiles
-from tabwright.operators.profile import infer_roles
+from tabwright.operators.profile import Profile
 
 MAX_BINS = 60
 COMPARISON_BINS = 30
@@ -55,8 +54,10 @@ def _number(df: DataFrame, name: str) -> Column:
     return numbers.as_number(q(name), dtype_of(df, name))
 
 
-def _counted(df: DataFrame, values: dict[str, Column], edges: dict[str, list[float]], extra: Sequence[str] = ()) -> DataFrame:
-    """``column, bin, low, high, n`` (after ``extra`` grouping columns), empty bins included."""
+def _counted(
+    df: DataFrame, values: dict[str, Column], edges: dict[str, list[float]], extra: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """The grid ``column, bin, low, high`` and the counts ``column, bin, n`` (per ``extra`` columns) of bins in use."""
     names = list(edges)
     binned = df.select(*extra, *[bin_index(values[name], edges[name]).alias(f"b{i}") for i, name in enumerate(names)])
     pieces = [p for i, name in enumerate(names) for p in (F.lit(name), F.col(f"b{i}"))]
@@ -67,43 +68,63 @@ def _counted(df: DataFrame, values: dict[str, Column], edges: dict[str, list[flo
     return frame, counted
 
 
-def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Equal-width histograms of several columns; at most 60 bins, however the values are spread."""
+Extents = Mapping[str, tuple[float | None, float | None, int]]
+
+
+def extents_of(df: DataFrame, columns: Sequence[str]) -> Extents:
+    """Smallest and largest finite number of each column and how many there are."""
     values = {name: _number(df, name) for name in columns}
-    extent = df.agg(
-        *[
-            agg(values[name]).alias(f"{kind}{i}")
-            for i, name in enumerate(columns)
-            for kind, agg in (("lo", F.min), ("hi", F.max), ("n", F.count))
-        ]
-    ).first()
-    edges = {
-        name: bin_edges(extent[f"lo{i}"], extent[f"hi{i}"], bin_count(extent[f"n{i}"]))
+    measures = [
+        agg(values[name]).alias(f"{kind}{i}")
         for i, name in enumerate(columns)
-        if extent[f"n{i}"]
-    }
+        for kind, agg in (("lo", F.min), ("hi", F.max), ("n", F.count))
+    ]
+    row = df.agg(*measures).first()
+    return {name: (row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"]) for i, name in enumerate(columns)}
+
+
+def histogram(df: DataFrame, columns: Sequence[str], extents: Extents | None = None) -> DataFrame:
+    """Equal-width histograms of several columns in one pass; at most 60 bins, however the values are spread.
+
+    ``extents`` saves the pass that finds them when a profile already knows.
+    """
+    known = extents or (extents_of(df, columns) if columns else {})
+    edges = {name: bin_edges(known[name][0], known[name][1], bin_count(known[name][2])) for name in columns if known[name][2]}
     if not edges:
         return df.sparkSession.createDataFrame([], "column string, bin int, low double, high double, n bigint")
-    grid, counted = _counted(df, values, edges)
+    grid, counted = _counted(df, {name: _number(df, name) for name in edges}, edges)
     joined = F.broadcast(grid).join(counted, ["column", "bin"], "left")
     return joined.select("column", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def compare_histogram(before: DataFrame, after: DataFrame, column: str, bins: int = COMPARISON_BINS) -> DataFrame | None:
-    """``phase, bin, low, high, n`` on edges shared by both versions; None when neither has numbers."""
-    both = (
-        before.select(F.lit("before").alias("phase"), _number(before, column).alias("v"))
-        .unionAll(after.select(F.lit("after").alias("phase"), _number(after, column).alias("v")))
-    )
-    extent = both.agg(F.min("v"), F.max("v")).first()
-    if extent[0] is None:
-        return None
-    edges = {column: bin_edges(extent[0], extent[1], bins)}
-    grid, counted = _counted(both, {column: F.col("v")}, edges, ["phase"])
-    phases = before.sparkSession.createDataFrame([("before",), ("after",)], "phase string")
-    frame = F.broadcast(grid.crossJoin(phases))
-    joined = frame.join(counted, ["phase", "column", "bin"], "left")
-    return joined.select("phase", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+def compare_histograms(
+    before: DataFrame, after: DataFrame, columns: Sequence[str], extents: Sequence[Extents] | None = None, bins: int = COMPARISON_BINS
+) -> DataFrame:
+    """``phase, column, bin, low, high, n`` on edges both versions share; columns without numbers are left out."""
+    session = before.sparkSession
+    first, second = extents or (extents_of(before, columns), extents_of(after, columns))
+    edges = {}
+    for name in columns:
+        lows = [e[name][0] for e in (first, second) if e[name][2]]
+        highs = [e[name][1] for e in (first, second) if e[name][2]]
+        if lows:
+            edges[name] = bin_edges(min(lows), max(highs), bins)
+    if not edges:
+        return session.createDataFrame([], "phase string, column string, bin int, low double, high double, n bigint")
+    names = {name: f"v{i}" for i, name in enumerate(edges)}
+    versions = [
+        version.select(F.lit(phase).alias("phase"), *[_number(version, name).alias(short) for name, short in names.items()])
+        for phase, version in (("before", before), ("after", after))
+    ]
+    grid, counted = _counted(versions[0].unionAll(versions[1]), {n: F.col(short) for n, short in names.items()}, edges, ["phase"])
+    phases = F.explode(F.array(F.lit("before"), F.lit("after"))).alias("phase")
+    joined = F.broadcast(grid.select("*", phases)).join(counted, ["phase", "column", "bin"], "left")
+    return joined.select("phase", "column", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def compare_histogram(before: DataFrame, after: DataFrame, column: str, bins: int = COMPARISON_BINS) -> DataFrame:
+    """``phase, bin, low, high, n`` of one column; empty when neither version has numbers."""
+    return compare_histograms(before, after, [column], None, bins).drop("column")
 
 
 def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -133,38 +154,44 @@ def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.filter("x IS NOT NULL AND y IS NOT NULL")
 
 
-def distribution(df: DataFrame, column: str, role: str) -> DataFrame:
-    """Histogram, records per day or category counts, whichever fits the role."""
-    if role == "numeric":
-        return histogram(df, [column])
-    if role == "datetime" and numbers.is_temporal(dtype_of(df, column)):
-        return daily_counts(df, column)
-    return category_counts(df, column)
-
-
-def report_tables(df: DataFrame, roles: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
-    """Missing rates, correlation when there are two numeric columns, and one distribution per column."""
-    resolved = infer_roles(df, roles)
-    tables = {"missing": missing_rates(df)}
-    if sum(role == "numeric" for role in resolved.values()) >= 2:
-        tables["correlation"] = correlation(df, resolved)
-    for name in data_columns(df):
-        if resolved[name] not in ("id", "ignore"):
-            tables[f"distribution:{name}"] = distribution(df, name, resolved[name])
+def report_tables(profile: Profile) -> dict[str, DataFrame]:
+    """The tables of one version's report: as many as there are kinds of chart, however many columns.
+
+    ``missing``, ``correlation`` (two numeric columns or more), and the distributions of all numeric,
+    date and categorical columns, each with a ``column`` field.
+    """
+    df, roles = profile.df, profile.roles
+    shown = [name for name in profile.names if roles[name] not in ("id", "ignore")]
+    numeric = [name for name in shown if roles[name] == "numeric"]
+    dates = [name for name in shown if roles[name] == "datetime" and numbers.is_temporal(dtype_of(df, name))]
+    labels = [name for name in shown if name not in numeric and name not in dates]
+    tables = {"missing": _missing_table(profile)}
+    if len(numeric) >= 2:
+        tables["correlation"] = correlation(df, roles)
+    if numeric:
+        tables["numeric"] = histogram(df, numeric, profile.extents)
+    if dates:
+        tables["datetime"] = _days(df, dates)
+    if labels:
+        tables["category"] = value_counts(df, labels).orderBy("column", "n", "value")
     return tables
 
 
-def comparison_tables(before: DataFrame, after: DataFrame, roles: Mapping[str, str], roles_after: Mapping[str, str]) -> dict[str, DataFrame]:
-    tables = {}
-    for name in data_columns(before):
-        if name in after.columns and roles[name] == "numeric" and roles_after[name] == "numeric":
-            table = compare_histogram(before, after, name)
-            if table is not None:
-                tables[f"comparison:{name}"] = table
-    return tables
+def _missing_table(profile: Profile) -> DataFrame:
+    rows = sorted(profile.base_columns, key=lambda entry: (-entry["missing"], entry["column"]))
+    schema = "column string, missing bigint, rate double"
+    return profile.df.sparkSession.createDataFrame([(e["column"], e["missing"], float(e["missing_pct"])) for e in rows], schema)
 
 
-__all__ = [
-    "bin_count", "bin_edges", "box_stats", "category_counts", "compare_histogram", "comparison_tables", "daily_counts",
-    "distribution", "histogram", "missing_rates", "report_tables", "scatter_pairs", "tidy",
-]
+def _days(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    pieces = [piece for name in columns for piece in (F.lit(name), F.to_date(q(name)))]
+    long = df.select(F.stack(F.lit(len(columns)), *pieces).alias("column", "day")).filter("day IS NOT NULL")
+    return long.groupBy("column", "day").agg(F.count("*").alias("n")).orderBy("column", "day")
+
+
+def comparison_table(before: Profile, after: Profile) -> DataFrame | None:
+    """Shared-edge histograms of every column that is numeric in both versions."""
+    both = [name for name in before.names if name in after.names and before.roles[name] == after.roles[name] == "numeric"]
+    if not both:
+        return None
+    return compare_histograms(before.df, after.df, both, (before.extents, after.extents))

@@ -159,13 +159,16 @@ def fit_categories(
         return [], None
     labelled = train.select(*[category_text(train, name).alias(name) for name in names])
     counts = typed_counts(labelled, names)
-    sizes = {row["column"]: row["unique"] for row in distinct_counts(counts).collect()}
-    crowded = [name for name in names if sizes.get(name, 0) > limit]
+    # Sizes and leading values come from one query, so the counts are shuffled once.
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").desc())
     ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    distinct = distinct_counts(counts).select("column", F.lit(None).cast("string").alias("value"), F.col("unique").alias("n"), F.lit(0).alias("rank"))
+    found = distinct.unionAll(ranked.select("column", "value", "n", "rank")).collect()
+    sizes = {row["column"]: row["n"] for row in found if row["rank"] == 0}
+    crowded = [name for name in names if sizes.get(name, 0) > limit]
     kept: dict[str, list[str]] = {name: [] for name in names}
-    for row in ranked.collect():
-        if row["column"] not in crowded or row["rank"] < limit:
+    for row in found:
+        if row["rank"] and (row["column"] not in crowded or row["rank"] < limit):
             kept[row["column"]].append(row["value"])
     fits = [
         CategoryFit(name, sorted(kept[name]), max(sizes.get(name, 0) - len(kept[name]), 0), kept[name] == [MISSING_LABEL])

@@ -49,6 +49,7 @@ def run_job(
         manifest = export_ml(prepared, output, spark)
         write_json(spark, table.metadata, f"{output}/source_metadata")
         prepared.scratch.close()
+        table.close()
         return JobOutcome(rows, sum(manifest["split_rows"].values()), output)
     config = check_config(pipeline or {"version": 1, "roles": {}, "steps": []})
     result = run_pipeline(table, config)
@@ -65,9 +66,10 @@ def run_job(
         summary = {"before": shown.before.as_dict(), "after": shown.after.as_dict(), "comparison": shown.comparison}
         write_json(spark, summary, f"{output}/profiles")
         for phase, group in shown.tables.items():
-            for number, (name, chart) in enumerate(group.items()):
-                write_table(chart, f"{output}/report/{phase}/{number:03}_{name.split(':')[0]}")
+            for name, chart in group.items():
+                write_table(chart, f"{output}/report/{phase}/{name}")
     result.scratch.close()
+    table.close()
     return JobOutcome(rows, log[-1]["rows_after"] if log else rows, output)
 
 

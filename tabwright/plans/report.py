@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tabwright.operators.charts import comparison_tables, report_tables
+from tabwright.operators.charts import comparison_table, report_tables
 from tabwright.operators.profile import Profile, compare_profiles
 from tabwright.operators.roles import roles_after
 from tabwright.plans.pipeline import CleaningResult
@@ -29,9 +29,8 @@ def report(original: DataFrame, result: CleaningResult) -> Report:
     before = Profile(original, result.config.get("roles"))
     later_roles = roles_after(before.roles, result.df.columns, result.config.get("steps", []))
     after = Profile(result.df, later_roles)
-    tables = {
-        "before": report_tables(original, before.roles),
-        "after": report_tables(result.df, later_roles),
-        "comparison": comparison_tables(original, result.df, before.roles, later_roles),
-    }
+    tables = {"before": report_tables(before), "after": report_tables(after), "comparison": {}}
+    shared = comparison_table(before, after)
+    if shared is not None:
+        tables["comparison"]["numeric"] = shared
     return Report(before, after, tables, result.log)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.operators import charts
+from tabwright.operators.counts import category_counts, daily_counts
 from tabwright.plans.pipeline import run_pipeline
 from tabwright.plans.report import report
 from tabwright.queries.cleaning import CLEANING_STEPS, ORDER_COLUMNS, RUN_CTES
@@ -81,12 +82,12 @@ register(
 )
 register(
     "daily_counts",
-    lambda spark, folder: charts.daily_counts(read(spark, folder, "events"), "ts"),
+    lambda spark, folder: daily_counts(read(spark, folder, "events"), "ts"),
     "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1",
 )
 register(
     "category_counts",
-    lambda spark, folder: charts.category_counts(view(spark, folder, "dirty_orders"), "priority"),
+    lambda spark, folder: category_counts(view(spark, folder, "dirty_orders"), "priority"),
     with_views("SELECT priority AS value, count(*) AS n FROM dirty_orders WHERE priority IS NOT NULL GROUP BY priority", "dirty_orders"),
 )
 register(
@@ -147,20 +148,24 @@ def _report(spark, folder):
 def _report_sql() -> str:
     parts = []
 
-    def add(phase, table, value):
-        parts.append(f"""SELECT '{phase}' AS phase, '{table}' AS "table", ({value})::BIGINT AS rows""")
+    def add(phase, table, *values):
+        parts.append(f"""SELECT '{phase}' AS phase, '{table}' AS "table", ({' + '.join(f'({v})' for v in values)})::BIGINT AS rows""")
+
+    def distinct(source, *columns):
+        return [f"SELECT count(DISTINCT {c}) FROM {source}" for c in columns]
+
+    def bins(source, *columns):
+        return [f"SELECT least(60, greatest(1, ceil(sqrt(count({c}))))) FROM {source}" for c in columns]
 
-    bins = "SELECT least(60, greatest(1, ceil(sqrt(count({c}))))) FROM {s}"
-    distinct = "SELECT count(DISTINCT {c}) FROM {s}"
     for phase, source in (("before", "dirty_orders"), ("after", "s7")):
         add(phase, "missing", "SELECT 6")
-        add(phase, "distribution:price", bins.format(c="price", s=source))
-        kind = distinct if phase == "before" else bins
-        add(phase, "distribution:price_text", kind.format(c="price_text", s=source))
-        for column in ("priority", "day_text", "status"):
-            add(phase, f"distribution:{column}", distinct.format(c=column, s=source))
+    add("before", "numeric", *bins("dirty_orders", "price"))
+    add("before", "category", *distinct("dirty_orders", "price_text", "priority", "day_text", "status"))
     add("after", "correlation", "SELECT 3")
-    add("comparison", "comparison:price", "SELECT 60")
+    add("after", "numeric", *bins("s7", "price", "price_text"))
+    add("after", "category", *distinct("s7", "priority", "status"))
+    add("after", "datetime", *distinct("s7", "day_text"))
+    add("comparison", "numeric", "SELECT 60")
     return with_views(f"{RUN_CTES} {' UNION ALL '.join(parts)}", "dirty_orders")
 
 

@@ -32,7 +32,7 @@ def inference_measures(names: Sequence[str], decimal: str = ".") -> list[Column]
     measures = []
     for i, name in enumerate(names):
         text = numbers.number_text(q(name), decimal)
-        parses = text.rlike(numbers.NUMBER) | text.rlike(numbers.INFINITY)
+        parses = text.rlike(f"{numbers.NUMBER}|{numbers.INFINITY}")
         measures += [
             F.count(q(name)).alias(f"valid{i}"),
             F.count_if(parses).alias(f"parses{i}"),

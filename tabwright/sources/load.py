@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.errors import TableError
-from tabwright.functions.names import q
-from tabwright.session import configure
+from tabwright.functions.names import ROW_ID, data_columns, q
+from tabwright.session import Scratch, configure
 from tabwright.sources import infer
 from tabwright.sources.csv import bad_csv_rows, read_csv
 from tabwright.sources.json import bad_json_lines, cell, read_json_documents, read_json_lines
@@ -36,13 +36,22 @@ def scan(spark: SparkSession, path: str, options: LoadOptions | None = None) ->
     return frame.select(*[cell(q(f.name), f.dataType).alias(f.name) for f in frame.schema.fields])
 
 
-def load(spark: SparkSession, path: str, options: LoadOptions | None = None, row_id: str | None = None) -> Table:
-    """One pass over all records validates them, counts them and decides numeric columns."""
+def load(
+    spark: SparkSession, path: str, options: LoadOptions | None = None, row_id: str | None = None, scratch: Scratch | None = None
+) -> Table:
+    """Validate every record, mark missing cells and decide numeric columns over the whole source.
+
+    Text sources are parsed once: the validated cells go to a columnar table in the shared folder, which
+    all later jobs read instead, column by column and with row identities that never change.
+    """
     options = options or LoadOptions()
     try:
         raw = scan(spark, path, options)
         check_columns(raw.columns, options.max_columns)
         frame = infer.mark_missing(raw, options.missing_tokens)
+        if format_of(path) != "parquet":
+            scratch = scratch or Scratch(spark)
+            frame = scratch.table(identified(frame, row_id))
         names = infer.candidates(frame) if options.infer_numeric else []
         row = frame.agg(F.count("*").alias("rows"), *infer.inference_measures(names, options.decimal)).first()
         size = source_bytes(spark, path)
@@ -58,11 +67,11 @@ def load(spark: SparkSession, path: str, options: LoadOptions | None = None, row
         "bytes": size,
         "format": suffix_of(path).lstrip("."),
         "rows": row["rows"],
-        "columns": len(frame.columns),
+        "columns": len(data_columns(frame)),
         "load_options": asdict(options),
         "sampled": False,
     }
-    return Table(identified(frame, row_id), metadata["source"], metadata)
+    return Table(identified(frame, row_id), metadata["source"], metadata, scratch)
 
 
 def bad_records(spark: SparkSession, path: str, options: LoadOptions | None = None) -> DataFrame:
@@ -92,6 +101,8 @@ def check_columns(columns: list[str], limit: int | None) -> None:
         raise TableError("the source has no columns")
     if limit is not None and len(columns) > limit:
         raise TableError(f"more than {limit} columns")
+    if ROW_ID in columns:
+        raise TableError(f"the column name {ROW_ID} is reserved")
     if len(set(columns)) != len(columns) or any(not name.strip() for name in columns):
         raise TableError("column names must be unique and not blank")
 

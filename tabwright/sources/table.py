@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.names import ROW_ID, data_columns, q
 from tabwright.functions.numbers import null_for_nan
+from tabwright.session import Scratch
 
 
 @dataclass
@@ -16,6 +17,12 @@ class Table:
     df: DataFrame
     name: str = "table"
     metadata: dict = field(default_factory=dict)
+    scratch: Scratch | None = field(default=None, repr=False)
+
+    def close(self) -> None:
+        """Give up the columnar copy of a text source, if one was made."""
+        if self.scratch is not None:
+            self.scratch.close()
 
     @property
     def columns(self) -> list[str]:
