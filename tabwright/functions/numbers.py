@@ -34,7 +34,9 @@ def number_text(column: Column, decimal: str = ".", thousands: str = "") -> Colu
 
 
 def parse_number(column: Column, decimal: str = ".", thousands: str = "") -> Column:
-    number = F.regexp_extract(number_text(column, decimal, thousands), NUMBER, 0).try_cast("double")
+    # Text outside the grammar must not reach the cast: a failing cast costs an exception per cell.
+    text = F.nullif(F.regexp_extract(number_text(column, decimal, thousands), NUMBER, 0), F.lit(""))
+    number = text.try_cast("double")
     for value in (float("inf"), float("-inf")):
         number = F.nullif(number, F.lit(value))
     return number

@@ -40,14 +40,22 @@ def bin_edges(low: float, high: float, bins: int) -> list[float]:
     return [k * step + low for k in range(bins)] + [high]
 
 
-def bin_index(value: Column, edges: Sequence[float]) -> Column:
-    """Bin of a value inside the edges: half-open bins, the last one closed."""
-    bins, low, high = len(edges) - 1, edges[0], edges[-1]
-    step = (high - low) / bins
-    guess = F.floor((value - F.lit(low)) / F.lit(high - low) * F.lit(bins)).cast("int")
-    guess = F.when(guess >= bins, bins - 1).otherwise(guess)
-    lower, upper = guess * F.lit(step) + F.lit(low), (guess + 1) * F.lit(step) + F.lit(low)
-    return guess + F.when(value < lower, -1).when((value >= upper) & (guess < bins - 1), 1).otherwise(0)
+def _guess(value: Column, edges: Sequence[float]) -> Column:
+    low, high, bins = edges[0], edges[-1], len(edges) - 1
+    return F.floor((value - F.lit(low)) / F.lit(high - low) * F.lit(bins)).cast("int")
+
+
+def _settle(value: Column, guess: Column, edges: Sequence[float]) -> Column:
+    """The guessed bin moved to the one whose edges enclose the value: half-open bins, the last one closed."""
+    low, bins = edges[0], len(edges) - 1
+    step = (edges[-1] - low) / bins
+    last = F.lit(bins - 1)
+    return (
+        F.when(guess > last, F.when(value < last * F.lit(step) + F.lit(low), last - 1).otherwise(last))
+        .when(value < guess * F.lit(step) + F.lit(low), guess - 1)
+        .when((guess < last) & (value >= (guess + 1) * F.lit(step) + F.lit(low)), guess + 1)
+        .otherwise(guess)
+    )
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -59,9 +67,11 @@ def _counted(
 ) -> tuple[DataFrame, DataFrame]:
     """The grid ``column, bin, low, high`` and the counts ``column, bin, n`` (per ``extra`` columns) of bins in use."""
     names = list(edges)
-    binned = df.select(*extra, *[bin_index(values[name], edges[name]).alias(f"b{i}") for i, name in enumerate(names)])
-    pieces = [p for i, name in enumerate(names) for p in (F.lit(name), F.col(f"b{i}"))]
-    long = binned.select(*extra, F.stack(F.lit(len(names)), *pieces).alias("column", "bin")).filter("bin IS NOT NULL")
+    # One projection per stage: each reuses the columns of the one before instead of repeating their expressions.
+    valued = df.select(*extra, *[values[name].alias(f"v{i}") for i, name in enumerate(names)])
+    guessed = valued.select("*", *[_guess(F.col(f"v{i}"), edges[name]).alias(f"g{i}") for i, name in enumerate(names)])
+    pieces = [p for i, name in enumerate(names) for p in (F.lit(name), _settle(F.col(f"v{i}"), F.col(f"g{i}"), edges[name]))]
+    long = guessed.select(*extra, F.stack(F.lit(len(names)), *pieces).alias("column", "bin")).filter("bin IS NOT NULL")
     counted = long.groupBy(*extra, "column", "bin").agg(F.count("*").alias("n"))
     grid = [(name, k, e[k], e[k + 1]) for name, e in edges.items() for k in range(len(e) - 1)]
     frame = df.sparkSession.createDataFrame(grid, "column string, bin int, low double, high double")
@@ -73,13 +83,13 @@ Extents = Mapping[str, tuple[float | None, float | None, int]]
 
 def extents_of(df: DataFrame, columns: Sequence[str]) -> Extents:
     """Smallest and largest finite number of each column and how many there are."""
-    values = {name: _number(df, name) for name in columns}
+    values = df.select(*[_number(df, name).alias(f"v{i}") for i, name in enumerate(columns)])
     measures = [
-        agg(values[name]).alias(f"{kind}{i}")
-        for i, name in enumerate(columns)
+        agg(f"v{i}").alias(f"{kind}{i}")
+        for i in range(len(columns))
         for kind, agg in (("lo", F.min), ("hi", F.max), ("n", F.count))
     ]
-    row = df.agg(*measures).first()
+    row = values.agg(*measures).first()
     return {name: (row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"]) for i, name in enumerate(columns)}
 
 

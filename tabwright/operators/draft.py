@@ -135,8 +135,8 @@ def cells_differ(old: Column, old_type: T.DataType, new: Column, new_type: T.Dat
     if is_numeric(old_type) and is_numeric(new_type):
         return ~old.cast("double").eqNullSafe(new.cast("double"))
     if is_text(old_type) and is_numeric(new_type):
-        same = as_number(old, old_type).eqNullSafe(new.cast("double"))
-        return F.when(old.isNull() | new.isNull(), old.isNotNull() | new.isNotNull()).otherwise(~same)
+        differ = ~as_number(old, old_type).eqNullSafe(new.cast("double"))
+        return (old.isNull() != new.isNull()) | (old.isNotNull() & differ)
     return ~_cell_text(old, old_type).eqNullSafe(_cell_text(new, new_type))
 
 

@@ -76,7 +76,8 @@ def invalid_number(df: DataFrame, name: str) -> Column:
 def fit_numbers(train: DataFrame, names: Sequence[str], imputer: str, scaler: str) -> list[NumberFit]:
     if not names:
         return []
-    value = {name: numbers.as_number(q(name), dtype_of(train, name)) for name in names}
+    train = train.select(*[numbers.as_number(q(name), dtype_of(train, name)).alias(f"x{i}") for i, name in enumerate(names)])
+    value = {name: F.col(f"x{i}") for i, name in enumerate(names)}
     measures = []
     for i, name in enumerate(names):
         measures += [

@@ -91,6 +91,9 @@ def order_statistics(
     """Values at 0-based ranks of each column's non-null values. Columns must share one numeric type."""
     names = list(wanted)
     slack = 2.0 / accuracy
+    # Projected once, so that no aggregate repeats the work of producing the value.
+    df = df.select("*", *[wanted[name].column.alias(f"__w{i}") for i, name in enumerate(names)])
+    wanted = {name: Wanted(F.col(f"__w{i}"), w.fractions, w.ranks) for i, (name, w) in enumerate(wanted.items())}
     first = list(measures)
     for i, name in enumerate(names):
         column = wanted[name].column

@@ -28,15 +28,20 @@ def candidates(df: DataFrame) -> list[str]:
     return [n for n in data_columns(df) if numbers.is_text(dtype_of(df, n)) and not is_identifier_name(n)]
 
 
-def inference_measures(names: Sequence[str], decimal: str = ".") -> list[Column]:
+def readings(df: DataFrame, names: Sequence[str], decimal: str = ".") -> DataFrame:
+    """The table plus each candidate's bare text, made once for all the questions asked about it."""
+    return df.select("*", *[numbers.number_text(q(name), decimal).alias(f"__text{i}") for i, name in enumerate(names)])
+
+
+def inference_measures(names: Sequence[str]) -> list[Column]:
+    """Per candidate of ``readings``: values, those that parse, those with a leading zero, whole numbers."""
     measures = []
-    for i, name in enumerate(names):
-        text = numbers.number_text(q(name), decimal)
-        parses = text.rlike(f"{numbers.NUMBER}|{numbers.INFINITY}")
+    for i in range(len(names)):
+        text = F.col(f"__text{i}")
         measures += [
-            F.count(q(name)).alias(f"valid{i}"),
-            F.count_if(parses).alias(f"parses{i}"),
-            F.count_if(numbers.number_text(q(name)).rlike(LEADING_ZERO)).alias(f"padded{i}"),
+            F.count(text).alias(f"valid{i}"),
+            F.count_if(text.rlike(f"{numbers.NUMBER}|{numbers.INFINITY}")).alias(f"parses{i}"),
+            F.count_if(text.rlike(LEADING_ZERO)).alias(f"padded{i}"),
             F.count_if(text.rlike(numbers.INTEGER) & text.try_cast("bigint").isNotNull()).alias(f"whole{i}"),
         ]
     return measures
@@ -62,4 +67,4 @@ def infer_numbers(df: DataFrame, decimal: str = ".") -> DataFrame:
     names = candidates(df)
     if not names:
         return df
-    return apply_inference(df, names, df.agg(*inference_measures(names, decimal)).first(), decimal)
+    return apply_inference(df, names, readings(df, names, decimal).agg(*inference_measures(names)).first(), decimal)

@@ -41,27 +41,28 @@ def load(
 ) -> Table:
     """Validate every record, mark missing cells and decide numeric columns over the whole source.
 
-    Text sources are parsed once: the validated cells go to a columnar table in the shared folder, which
-    all later jobs read instead, column by column and with row identities that never change.
+    One aggregate validates, counts and infers. A text source is then written once, typed and columnar,
+    to the shared folder: all later jobs read that, column by column, with row identities that never
+    change, instead of parsing the text again.
     """
     options = options or LoadOptions()
     try:
         raw = scan(spark, path, options)
         check_columns(raw.columns, options.max_columns)
         frame = infer.mark_missing(raw, options.missing_tokens)
+        names = infer.candidates(frame) if options.infer_numeric else []
+        row = infer.readings(frame, names, options.decimal).agg(F.count("*").alias("rows"), *infer.inference_measures(names)).first()
+        if not row["rows"]:
+            raise TableError("the source has no records")
+        check_rows(row["rows"], options.max_rows)
+        frame = identified(infer.apply_inference(frame, names, row, options.decimal), row_id)
         if format_of(path) != "parquet":
             scratch = scratch or Scratch(spark)
-            frame = scratch.table(identified(frame, row_id))
-        names = infer.candidates(frame) if options.infer_numeric else []
-        row = frame.agg(F.count("*").alias("rows"), *infer.inference_measures(names, options.decimal)).first()
+            frame = scratch.table(frame)
         size = source_bytes(spark, path)
     except (PySparkException, Py4JJavaError) as error:
         cause = error.java_exception.getMessage() if isinstance(error, Py4JJavaError) else str(error)
         raise TableError(f"cannot read {path}: {cause.splitlines()[0]}") from error
-    if not row["rows"]:
-        raise TableError("the source has no records")
-    check_rows(row["rows"], options.max_rows)
-    frame = infer.apply_inference(frame, names, row, options.decimal)
     metadata = {
         "source": PurePosixPath(path.rstrip("/")).name,
         "bytes": size,
@@ -71,7 +72,7 @@ def load(
         "load_options": asdict(options),
         "sampled": False,
     }
-    return Table(identified(frame, row_id), metadata["source"], metadata, scratch)
+    return Table(frame, metadata["source"], metadata, scratch)
 
 
 def bad_records(spark: SparkSession, path: str, options: LoadOptions | None = None) -> DataFrame:
