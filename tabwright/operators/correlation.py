@@ -22,6 +22,7 @@ from tabwright.session import Scratch
 MIN_PAIRS = 3
 PAIRS_PER_AGGREGATE = 200
 RANK_BUCKET_ROWS = 200_000
+RANK_BUCKETS = 2_048
 HOT_SHARE = 1_000
 SCHEMA = "x string, y string, r double, n bigint"
 
@@ -192,7 +193,7 @@ def average_ranks(df: DataFrame, labels: Sequence[str], scratch: Scratch, bucket
     long = df.select(F.stack(F.lit(len(labels)), *pieces).alias("column", "value")).filter("value IS NOT NULL")
     counts = scratch.table(long.groupBy("column", "value").agg(F.count("*").alias("n")))
     distinct = {row["column"]: row["count"] for row in counts.groupBy("column").count().collect()}
-    buckets = max((math.ceil(count / bucket_rows) for count in distinct.values()), default=1)
+    buckets = min(max((math.ceil(count / bucket_rows) for count in distinct.values()), default=1), RANK_BUCKETS)
     bucketed, below = counts.withColumn("bucket", F.lit(0)), F.lit(0)
     if buckets > 1:
         grid = [k / buckets for k in range(1, buckets)]
