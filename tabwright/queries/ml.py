@@ -145,8 +145,8 @@ register(
     z2 AS (SELECT *, ceil((total_rows - t) * (0.2::DOUBLE / (1 - 0.2::DOUBLE)))::BIGINT AS v FROM z),
     a AS (SELECT * EXCLUDE (total) FROM ({_quota('(SELECT c.*, total_rows - t AS d1, total_rows - t - v AS d2 FROM c, z2)', 'n', 'd1', 'kept')})),
     b AS ({_quota('a', 'kept', 'd2', 'train')})
-    SELECT label, 'train' AS split, train::BIGINT AS n FROM b UNION ALL SELECT label, 'validation', (kept - train)::BIGINT FROM b
-    UNION ALL SELECT label, 'test', (n - kept)::BIGINT FROM b""",
+    SELECT * FROM (SELECT label, 'train' AS split, train::BIGINT AS n FROM b UNION ALL SELECT label, 'validation', (kept - train)::BIGINT FROM b
+    UNION ALL SELECT label, 'test', (n - kept)::BIGINT FROM b) WHERE n > 0""",
 )
 register(
     "split_time",
