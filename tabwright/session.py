@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +26,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, a temporary one only if none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tabwright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """Folder every executor can reach: spark.checkpoint.dir, or else spark.tabwright.scratch.dir.
+
+    Only where driver and executors are one process may both be missing: then a temporary folder serves.
+    """
+    for option in ("spark.checkpoint.dir", "spark.tabwright.scratch.dir"):
+        folder = spark.conf.get(option, None)
+        if folder:
+            return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir or spark.tabwright.scratch.dir to a folder that all executors share")
+    return _process_folder()
+
+
+@cache
+def _process_folder() -> str:
+    return tempfile.mkdtemp(prefix="tabwright-")
 
 
 class Scratch:
@@ -43,6 +54,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self._spark = spark
         self._root = None
+        self._targets: dict[int, str] = {}
 
     def path(self, name: str = "part") -> str:
         if self._root is None:
@@ -52,13 +64,22 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         target = self.path("table")
         df.write.parquet(target)
-        return self._spark.read.schema(df.schema).parquet(target)
+        frame = self._spark.read.schema(df.schema).parquet(target)
+        self._targets[id(frame)] = target
+        return frame
+
+    def drop(self, frame: DataFrame) -> None:
+        """Delete one table that nothing reads any more."""
+        if target := self._targets.pop(id(frame), None):
+            self._delete(target)
 
     def close(self) -> None:
         """Delete what this object wrote; frames read from it become unusable."""
         if self._root is None:
             return
-        jvm, context = self._spark._jvm, self._spark._jsc
-        root = jvm.org.apache.hadoop.fs.Path(self._root)
-        root.getFileSystem(context.hadoopConfiguration()).delete(root, True)
+        self._delete(self._root)
         self._root = None
+
+    def _delete(self, target: str) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(target)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
