@@ -10,7 +10,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import Merges, adjacency, breaks, encode_spans
-from tabwright.llm.text import binaries, chunks, code_points
+from tabwright.llm.text import binaries, chunks, code_points, prepare
 
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 APOSTROPHE = 0x27
@@ -94,6 +94,7 @@ class ByteCodec:
     """Column function of one vocabulary. Null and empty texts have no ids; control strings are ordinary text."""
 
     def __init__(self, spark: SparkSession, path: str):
+        prepare(spark)
         self._model = spark.sparkContext.broadcast(ByteModel(path))  # a vocabulary file: fixed size
 
     def encode(self, text: Column, end: int | None = None) -> Column:

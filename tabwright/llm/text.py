@@ -8,8 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_500_000
+BATCH_BYTES = 8 << 20
 # Odd multipliers of the polynomial and of the finalising mix.
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX_1, MIX_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
@@ -17,6 +19,13 @@ MIX_1, MIX_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Send texts to Python in batches of bounded bytes, however long the single texts are, and give up the
+    shuffle files of a finished write, which nothing reads again."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts one after another, and the offsets of each; null counts as empty."""
     texts = texts.cast(pa.large_string())
