@@ -8,7 +8,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import Merges, adjacency, breaks, encode_spans
-from tabwright.llm.text import binaries, chunks, code_points, span_index, strings
+from tabwright.llm.text import binaries, chunks, code_points, prepare, span_index, strings
 
 SPACE = 0x2581  # the character that stands for a space
 # Kinds of pieces in the model file.
@@ -136,6 +136,7 @@ class PieceCodec:
     """
 
     def __init__(self, spark: SparkSession, path: str):
+        prepare(spark)
         self._model = spark.sparkContext.broadcast(PieceModel(path))  # a vocabulary file: fixed size
 
     def encode(self, text: Column) -> Column:
@@ -152,6 +153,22 @@ class PieceCodec:
 
         return F.arrow_udf(run, "binary")(text)
 
+    def encode_and_decode(self, text: Column) -> Column:
+        """struct(ids, decoded): both directions in one pass over the texts."""
+        shared = self._model
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            model = shared.value
+            for texts in batches:
+                ids_parts, text_parts = [pa.array([], pa.binary())], [pa.array([], pa.string())]
+                for _, flat, offsets in chunks(texts):
+                    ids, ends = model.encode(flat, offsets)
+                    ids_parts.append(binaries(ids.astype("<u4"), ends * 4).cast(pa.binary()))
+                    text_parts.append(strings(*model.decode(ids, ends)).cast(pa.string()))
+                yield pa.StructArray.from_arrays([pa.concat_arrays(ids_parts), pa.concat_arrays(text_parts)], ["ids", "decoded"])
+
+        return F.arrow_udf(run, "ids binary, decoded string")(text)
+
     def decode(self, ids: Column) -> Column:
         shared = self._model
 
