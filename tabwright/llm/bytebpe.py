@@ -10,7 +10,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import Merges, adjacency, breaks, encode_spans
-from tabwright.llm.text import binaries, chunks, code_points, prepare
+from tabwright.llm.text import binaries, chunks, code_points, prepare, share, shared
 
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 APOSTROPHE = 0x27
@@ -95,14 +95,14 @@ class ByteCodec:
 
     def __init__(self, spark: SparkSession, path: str):
         prepare(spark)
-        self._model = spark.sparkContext.broadcast(ByteModel(path))  # a vocabulary file: fixed size
+        self._model = share(spark, ByteModel(path))  # a vocabulary file: fixed size
 
     def encode(self, text: Column, end: int | None = None) -> Column:
         """Ids packed as little-endian unsigned 32-bit integers, `end` after each text if given."""
-        shared = self._model
+        packed = self._model
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = shared.value
+            model = shared(packed)
             for texts in batches:
                 parts = []
                 for _, flat, offsets in chunks(texts):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.text import chunks, code_points, mix, prepare
+from tabwright.llm.text import chunks, code_points, mix, prepare, share, shared
 
 DIMENSIONS = 1 << 13
 GRAMS = (2, 3)
@@ -163,10 +163,10 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column, reject_shar
     texts whose cosine is below reject_share of the usual one, in proportion for short texts. Equal texts have equal results.
     """
     prepare(spark)
-    shared = spark.sparkContext.broadcast((model, letter_tables()))  # bounded: languages x centroids x dimensions
+    packed = share(spark, (model, letter_tables()))  # bounded: languages x centroids x dimensions
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, table = shared.value
+        model, table = shared(packed)
         for texts in batches:
             labels, scores, rejected = [], [], []
             for _, flat, offsets in chunks(texts):

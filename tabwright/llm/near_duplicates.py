@@ -147,7 +147,7 @@ def confirm_pairs(settings: Settings):
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per row of docs: doc_id, text_key, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, text_key, n_shingles, component_id, kept, root (null without words).
 
     Documents with the same set are one node. Nodes that share a band key are candidates: first each with
     the smallest node of the bucket, a star; then, across the components that the confirmed stars leave,
@@ -207,4 +207,5 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     ))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id"))
     named = rooted.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least_id")))
-    return named.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return named.select("doc_id", "text_key", "n_shingles", "component_id", kept, "root")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import Merges, adjacency, breaks, encode_spans
-from tabwright.llm.text import binaries, chunks, code_points, prepare, span_index, strings
+from tabwright.llm.text import binaries, chunks, code_points, prepare, share, shared, span_index, strings
 
 SPACE = 0x2581  # the character that stands for a space
 # Kinds of pieces in the model file.
@@ -137,13 +137,13 @@ class PieceCodec:
 
     def __init__(self, spark: SparkSession, path: str):
         prepare(spark)
-        self._model = spark.sparkContext.broadcast(PieceModel(path))  # a vocabulary file: fixed size
+        self._model = share(spark, PieceModel(path))  # a vocabulary file: fixed size
 
     def encode(self, text: Column) -> Column:
-        shared = self._model
+        packed = self._model
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = shared.value
+            model = shared(packed)
             for texts in batches:
                 parts = []
                 for _, flat, offsets in chunks(texts):
@@ -155,10 +155,10 @@ class PieceCodec:
 
     def encode_and_decode(self, text: Column) -> Column:
         """struct(ids, decoded): both directions in one pass over the texts."""
-        shared = self._model
+        packed = self._model
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = shared.value
+            model = shared(packed)
             for texts in batches:
                 ids_parts, text_parts = [pa.array([], pa.binary())], [pa.array([], pa.string())]
                 for _, flat, offsets in chunks(texts):
@@ -170,14 +170,14 @@ class PieceCodec:
         return F.arrow_udf(run, "ids binary, decoded string")(text)
 
     def decode(self, ids: Column) -> Column:
-        shared = self._model
+        packed = self._model
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model = shared.value
-            for packed in batches:
+            model = shared(packed)
+            for rows in batches:
                 parts = []
-                for at in range(0, len(packed), 256):
-                    raw = [x.as_py() or b"" for x in packed.slice(at, 256)]
+                for at in range(0, len(rows), 256):
+                    raw = [x.as_py() or b"" for x in rows.slice(at, 256)]
                     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)])
                     flat, ends = model.decode(np.frombuffer(b"".join(raw), "<u4"), offsets)
                     parts.append(strings(flat, ends).cast(pa.string()))

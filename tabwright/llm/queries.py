@@ -81,7 +81,7 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     from tabwright.llm.near_duplicates import Settings, near_duplicates
 
-    return near_duplicates(read(spark, folder, "documents"), Settings(words=3, percent=85)).drop("text_key")
+    return near_duplicates(read(spark, folder, "documents"), Settings(words=3, percent=85)).drop("text_key", "root")
 
 
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,5 +127,25 @@ SELECT conv_id, n_turns, sha256(said) turns_sha256, length(loss)::BIGINT loss_ch
 """.replace("{extra}", EXTRA_TURN)
 
 
-QUERIES = {"op1_chat": op1_chat, "op8_fingerprints": op8_fingerprints, "op9_minhash": op9_minhash, "op2_secrets": op2_secrets, "op6_language": op6_language, "op3_pieces": op3_pieces, "op5_packing": op5_packing}
+def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
+    from tabwright.llm.lines import without_repeated_lines
+
+    found = without_repeated_lines(read(spark, folder, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    from tabwright.llm.passages import without_repeats
+
+    found = without_repeats(read(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from tabwright.llm.quality import judge
+
+    return judge(read(spark, folder, "documents"))
+
+
+QUERIES = {"op4_lines": op4_lines, "op7_passages": op7_passages, "op10_quality": op10_quality, "op1_chat": op1_chat, "op8_fingerprints": op8_fingerprints, "op9_minhash": op9_minhash, "op2_secrets": op2_secrets, "op6_language": op6_language, "op3_pieces": op3_pieces, "op5_packing": op5_packing}
 SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op2_secrets": op2_sql()}

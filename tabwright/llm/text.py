@@ -4,10 +4,12 @@ Everything works on one Arrow batch at a time, in chunks of bounded size; a chun
 when a single text is.
 """
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import SparkSession
 
 CHUNK_BYTES = 1_500_000
@@ -26,6 +28,15 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """Send a value of bounded size to all executors, with the classes of this package it needs."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(value: Broadcast):
+    return pickle.loads(value.value)
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts one after another, and the offsets of each; null counts as empty."""
     texts = texts.cast(pa.large_string())
