@@ -110,7 +110,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     limits = sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     infinity = float("inf")
-    ranges = Bucketizer(splits=[-infinity, *limits, infinity], inputCol="place", outputCol="range")
+    ranges = Bucketizer(splits=[-infinity, *(limits or [0.0]), infinity], inputCol="place", outputCol="range")
     placed = ranges.transform(rows.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(-infinity))))
     placed = placed.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.col("range").cast("int").alias("part"))
     firsts = placed.groupBy("part").agg(F.min(F.struct("doc_id", "text_key")).alias("f"))
