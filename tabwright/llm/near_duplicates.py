@@ -146,14 +146,67 @@ def confirm_pairs(settings: Settings):
     return F.arrow_udf(run, "boolean")
 
 
+def differences():
+    """Arrow function of a set and its hub's: both sizes and the elements that only one of them has."""
+    shape = pa.struct([("size", pa.int64()), ("hub_size", pa.int64()), ("delta", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for own, hub in batches:
+            parts, sizes = [np.zeros(0, np.uint64)], []
+            for x, y in zip(own, hub, strict=True):
+                one, two = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                parts.append(np.setxor1d(one, two, assume_unique=True))
+                sizes.append((len(one), len(two), len(parts[-1])))
+            n = np.array(sizes, np.int64).reshape(-1, 3)
+            deltas = lists(pa.array(np.concatenate(parts).view(np.int64), pa.int64()), np.concatenate([[0], np.cumsum(n[:, 2])]))
+            yield pa.StructArray.from_arrays([pa.array(n[:, 0]), pa.array(n[:, 1]), deltas], fields=list(shape))
+
+    return F.arrow_udf(run, "size long, hub_size long, delta array<long>")
+
+
+def open_pairs(apart: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): pairs of one hub's texts, not both linked to it, that may be linked, smaller name first.
+
+    apart: a, b (hub), linked, size, hub_size, delta. With s for the sum of two sizes, a pair is linked if
+    its symmetric difference is at most c * s, c = (100 - percent) / (100 + percent). The difference of two
+    texts is that of their deltas, so linked texts must share (|da| + |db| - c * s) / 2 elements of delta. As
+    one of them differs from the hub by more than c * s, that is more than (|d| + c * (hub_size - size)) / 2 for
+    either one, and never less than |d| - c * s. By prefix filtering, of a delta in order of rarity only the first
+    elements need be compared. Copies with edits of their own share none of those: no group emits all its pairs.
+    """
+    c = (100 - settings.percent) / (100 + settings.percent)
+    n, tiny = F.size("delta"), 1e-9
+    least = F.ceil(n - c * F.col("size") * (1 + 100 / settings.percent) - tiny)
+    half = F.floor((n + c * (F.col("hub_size") - F.col("size"))) / 2 - tiny) + 1
+    short = (n - F.greatest(half, least, F.lit(1)) + 1).cast("int")
+    long_ = (n - F.greatest(least, F.lit(1)) + 1).cast("int")
+    rows = apart.select("a", "b", "linked", short.alias("short"), long_.alias("long"), F.explode("delta").alias("e"))
+    often = rows.groupBy("b", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # What only one text of the hub has comes first in its order and meets nothing: it only takes places.
+    common = rows.join(often, ["b", "e"]).groupBy("a", "b", "linked", "short", "long").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("d"))
+    alone = apart.select("a", "b", F.size("delta").alias("all"))
+    left = common.join(alone, ["a", "b"]).withColumn("own", F.col("all") - F.size("d"))
+
+    def first(limit: str) -> DataFrame:
+        taken = F.slice("d", 1, F.greatest(F.col(limit) - F.col("own"), F.lit(0)))
+        return left.select("a", "b", "linked", F.explode(taken).alias("x")).select("a", "b", "linked", "x.e")
+
+    big_long, big_short, small_short = first("long").where("not linked"), first("short").where("not linked"), first("short").where("linked")
+    mixed = big_long.select("a", "b", "e").join(small_short.select(F.col("a").alias("z"), "b", "e"), ["b", "e"])
+    both = big_short.select("a", "b", "e").join(big_short.select(F.col("a").alias("z"), "b", "e"), ["b", "e"]).where("a < z")
+    found = mixed.select("a", "z").unionByName(both.select("a", "z"))
+    return found.select(F.least("a", "z").alias("a"), F.greatest("a", "z").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per row of docs: doc_id, text_key, n_shingles, component_id, kept, root (null without words).
 
-    Documents with the same set are one node. Nodes that share a band key are candidates: first each with
-    the smallest node of the bucket, a star; then, across the components that the confirmed stars leave,
-    all pairs of a bucket that lie in different components. A pair inside a component cannot change it, so
-    the components are those of all candidate pairs, without all pairs of a group. Every link is confirmed
-    on the full sets. A link of just the threshold is a candidate with a probability of 1 - 1e-6.
+    Documents with the same set are one node. Nodes that share a band key are candidates. Each is first
+    confirmed with the most central node of the bucket, its hub: a star. Two nodes of a bucket that are both
+    linked to the hub need no link of their own. Any other pair can only be linked if its members differ from
+    the hub in the same places, so only pairs that share such a difference are confirmed, see open_pairs. The
+    components are those of all candidate pairs, without all pairs of a group. Every link is confirmed on the
+    full sets. A link of just the threshold is a candidate with a probability of 1 - 1e-6.
 
     Texts that are null, empty or without words are linked with nothing. Null ids are linked like others but
     never name a component unless it has no other id. Rows that repeat an id share its verdict if they share
@@ -167,39 +220,41 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     nodes = sketched.where("n > 0").groupBy("name").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_key")).alias("shown"))
     keys = nodes.select("name", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("name").alias("hub")).where("size > 1").drop("size")
-    buckets = scratch.table(keys.join(hubs, "key").select("key", "name", "hub"))
-
-    active = buckets.select("name").distinct()
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = scratch.table(keys.join(sizes, "key"))
+    # The text that meets most others is the likeliest original of its copies: the best hub of a bucket.
+    central = shared.groupBy("name").agg(F.sum("size").alias("central"))
+    ranked = shared.join(central, "name")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("central", "name"))["name"].alias("hub"))
+    star = scratch.table(shared.join(hubs, "key").where(F.col("name") != F.col("hub")).select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct())
+
+    active = shared.select("name").distinct()
     shown = sketched.where("n > 0").groupBy("name").agg(F.min(F.struct("doc_id", "text_key")).alias("shown")).join(active, "name", "left_semi")
     shown = shown.select("name", F.col("shown.doc_id").alias("shown_id"), F.col("shown.text_key").alias("shown_key"))
     chosen = keyed.join(shown, keyed["doc_id"].eqNullSafe(shown["shown_id"]) & (keyed["text_key"] == shown["shown_key"]))
     chosen = chosen.select("name", "text").dropDuplicates(["name"])
     sets = scratch.table(chosen.select(sketch_texts(settings, True)(F.col("text")).alias("s")).select("s.name", "s.members", "s.registers"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def with_sets(pairs: DataFrame) -> DataFrame:
         side = [sets.select(F.col("name").alias(x), F.col("members").alias(f"m{x}"), F.col("registers").alias(f"r{x}")) for x in "ab"]
-        joined = pairs.join(side[0], "a").join(side[1], "b")
-        return joined.where(confirm_pairs(settings)(F.col("ma"), F.col("mb"), F.col("ra"), F.col("rb"))).select("a", "b")
+        return pairs.join(side[0], "a").join(side[1], "b")
 
-    star = buckets.where(F.col("name") != F.col("hub")).select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct()
-    links = scratch.table(confirmed(star))
-    first = scratch.table(components(links, scratch))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return with_sets(pairs).withColumn("linked", confirm_pairs(settings)(F.col("ma"), F.col("mb"), F.col("ra"), F.col("rb"))).select("a", "b", "linked")
 
-    placed = scratch.table(
-        buckets.join(first.withColumnRenamed("node", "name"), "name", "left").select("key", "name", F.coalesce("root", "name").alias("root"), "hub")
-    )
-    scratch.drop(buckets)
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    loose = placed.join(mixed.select("key", "main"), "key")
-    x = loose.where(F.col("root") != F.col("main")).select("key", F.col("name").alias("a"), F.col("root").alias("root_a"))
-    y = loose.select("key", F.col("name").alias("b"), F.col("root").alias("root_b"), "main", "hub")
-    crossed = x.join(y, "key").where(F.col("root_a") != F.col("root_b")).where((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    # Pairs with a bucket's hub were tried in the stars.
-    crossed = crossed.where((F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")))
-    crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(crossed)
+    tried = scratch.table(confirmed(star))
+    scratch.drop(shared)
+    links = tried.where("linked").select("a", "b")
+    first = scratch.table(components(links, scratch))
+    # A hub with one other text, or linked to all others, leaves no pair open.
+    some = tried.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").select("b")
+    apart = scratch.table(with_sets(tried.join(some, "b")).select("a", "b", "linked", differences()(F.col("ma"), F.col("mb")).alias("d")).select("a", "b", "linked", "d.*"))
+    pairs = open_pairs(apart, settings)
+    roots = [first.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    crossed = pairs.join(roots[0], "a", "left").join(roots[1], "b", "left")
+    crossed = crossed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = confirmed(crossed.join(known, ["a", "b"], "left_anti")).where("linked").select("a", "b")
     roots = components(links.unionByName(more), scratch)
 
     rooted = scratch.table(sketched.drop("bands").join(roots.withColumnRenamed("node", "name"), "name", "left").select(
