@@ -19,8 +19,15 @@ DIRECTIVES = {
     "M": (r"[0-9]{1,2}", "m", "mm"),
     "S": (r"[0-9]{1,2}", "s", "ss"),
     "f": (r"[0-9]{1,6}", "SSSSSS", "SSSSSS"),
+    "y": (r"[0-9]{2}", "yy", "yy"),
+    "b": (r"[A-Za-z]{3}", "MMM", "MMM"),
+    "B": (r"[A-Za-z]{3,9}", "MMMM", "MMMM"),
+    "I": (r"[0-9]{1,2}", "h", "hh"),
+    "p": (r"[AaPp][Mm]", "a", "a"),
+    "j": (r"[0-9]{1,3}", "D", "DDD"),
     "z": (r"(Z|[+-][0-9]{2}:?[0-9]{2})", "XXX", "XXX"),
 }
+CENTURY_TURN = 2069
 ISO_DATE = r"^[0-9]{4}(-[0-9]{2}(-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?)?)?$"
 ISO_COMPACT = r"^[0-9]{8}$"
 OFFSET_WITHOUT_COLON = r"([+-][0-9]{2})([0-9]{2})$"
@@ -41,7 +48,7 @@ def spark_pattern(fmt: str) -> tuple[str, str]:
                 0 <= other < len(pieces) and pieces[other].startswith("%") and pieces[other] != "%%"
                 for other in (position - 1, position + 1)
             )
-            guard += re.sub(r"\{1,2\}", "{2}", accepted) if touching else accepted
+            guard += re.sub(r"\{1,([23])\}", r"{\1}", accepted) if touching else accepted
             pattern += tight if touching else loose
         else:
             guard += re.escape(piece)
@@ -65,4 +72,8 @@ def parse_datetime(column: Column, dtype: T.DataType, fmt: str) -> Column:
     guard, pattern = spark_pattern(fmt)
     if "%z" in fmt:
         text = F.regexp_replace(text, OFFSET_WITHOUT_COLON, "$1:$2")
-    return F.when(column.cast("string").rlike(guard), F.try_to_timestamp(text, F.lit(pattern)))
+    moment = F.try_to_timestamp(text, F.lit(pattern))
+    if "%y" in fmt:
+        # Two digits from 69 on are years of the last century.
+        moment = F.when(F.year(moment) >= CENTURY_TURN, moment - F.expr("INTERVAL 100 YEARS")).otherwise(moment)
+    return F.when(column.cast("string").rlike(guard), moment)

@@ -20,7 +20,6 @@ from tabwright.operators.splits import sample_rows
 from tabwright.session import Scratch
 
 MIN_PAIRS = 3
-PAIRS_PER_AGGREGATE = 200
 RANK_BUCKET_ROWS = 200_000
 RANK_BUCKETS = 2_048
 HOT_SHARE = 1_000
@@ -52,75 +51,89 @@ def correlation(
 
 
 def pearson(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    pairs = {(x, y): (q(x), q(y)) for x, y in combinations_with_replacement(names, 2)}
-    if len(pairs) > PAIRS_PER_AGGREGATE:
-        return pearson_blocks(df, names)
-    return pearson_pairs(df, pairs)
-
-
-def pearson_pairs(df: DataFrame, pairs: Mapping[tuple[str, str], tuple[Column, Column]]) -> DataFrame:
-    """All pairs in one aggregate inside the JVM."""
-    measures = []
-    for i, (x, y) in enumerate(pairs.values()):
-        both = x.isNotNull() & y.isNotNull()
-        spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
-        r = F.try_divide(F.covar_pop(x, y), spread)
-        measures += [F.count_if(both).alias(f"n{i}"), _bounded(r).alias(f"r{i}")]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], SCHEMA)
-    wide = df.agg(*measures)
-    pieces = [p for i, (x, y) in enumerate(pairs) for p in (F.lit(x), F.lit(y), F.col(f"r{i}"), F.col(f"n{i}"))]
-    long = wide.select(F.stack(F.lit(len(pairs)), *pieces).alias("x", "y", "r", "n"))
-    return long.select("x", "y", F.when(F.col("n") >= MIN_PAIRS, F.col("r")).alias("r"), "n")
-
-
-def _bounded(r: Column) -> Column:
-    return F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
+    return pair_correlations(df, {(x, y): (x, y) for x, y in combinations_with_replacement(names, 2)})
 
 
-def pearson_blocks(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Many columns: each task turns its rows into sums of products, and the sums are added up.
+def pair_correlations(df: DataFrame, pairs: Mapping[tuple[str, str], tuple[str, str]]) -> DataFrame:
+    """``x, y, r, n`` per pair of labels, each correlated over the rows where both its columns have values.
 
-    One scan whatever the number of pairs. Values are centred on the column means first, so the sums
-    do not lose digits when a mean is large compared with the spread.
+    One scan for the scale of every column, one for the moments, whatever the number of pairs. Moments of
+    a pair are centred on that pair's own rows and merged as count, means and co-moments, first inside a
+    task, then across tasks, so neither magnitude nor a few distant rows cost digits.
     """
-    means = df.agg(*[F.avg(q(name)).alias(f"m{i}") for i, name in enumerate(names)]).first()
-    centred = df.select(*[(q(name) - F.lit(means[f"m{i}"])).alias(f"c{i}") for i, name in enumerate(names)])
-    size = len(names)
-    rows, columns = np.triu_indices(size)
-
-    def sums(batches):
-        total = None
+    session = df.sparkSession
+    if not pairs:
+        return session.createDataFrame([], SCHEMA)
+    columns = list(dict.fromkeys(name for pair in pairs.values() for name in pair))
+    tops = df.agg(*[F.max(F.abs(q(name))).alias(f"t{i}") for i, name in enumerate(columns)]).first()
+    scales = [2.0 ** math.frexp(top)[1] if top and math.isfinite(top) else 1.0 for top in tops]
+    scaled = df.select(*[(q(name) / F.lit(scales[i])).alias(f"c{i}") for i, name in enumerate(columns)])
+    place = {name: i for i, name in enumerate(columns)}
+    partners: dict[int, list[tuple[int, int]]] = {}
+    for number, (x, y) in enumerate(pairs.values()):
+        partners.setdefault(place[x], []).append((number, place[y]))
+    size = len(pairs)
+
+    def moments(batches):
+        total = np.zeros((6, size))
         for batch in batches:
             values = batch.to_numpy(dtype=float)
-            present = (~np.isnan(values)).astype(float)
-            filled = np.nan_to_num(values)
-            squares = filled * filled
-            parts = np.stack(
-                [present.T @ present, filled.T @ present, present.T @ filled, squares.T @ present, present.T @ squares, filled.T @ filled]
-            )
-            total = parts if total is None else total + parts
-        if total is not None:
-            data = {"i": rows, "j": columns}
-            data.update({f"s{k}": total[k][rows, columns] for k in range(6)})
-            yield pd.DataFrame(data)
-
-    partial = centred.mapInPandas(sums, "i int, j int, " + ", ".join(f"s{k} double" for k in range(6)))
-    added = partial.groupBy("i", "j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])
-    n, sx, sy, sxx, syy, sxy = (F.col(f"s{k}") for k in range(6))
-
-    def variance(total, squares):
-        value = squares - F.try_divide(total * total, n)
-        return F.when(value > squares * F.lit(1e-12), value)
-
-    r = F.try_divide(sxy - F.try_divide(sx * sy, n), F.sqrt(variance(sx, sxx) * variance(sy, syy)))
-    label = F.array(*[F.lit(name) for name in names])
-    return added.select(
-        F.element_at(label, F.col("i") + 1).alias("x"),
-        F.element_at(label, F.col("j") + 1).alias("y"),
-        F.when(n >= MIN_PAIRS, _bounded(r)).alias("r"),
-        n.cast("bigint").alias("n"),
+            if len(values):
+                total = merged(total, batch_moments(values, partners, size))
+        yield pd.DataFrame({"pair": np.arange(size), **dict(zip(MOMENTS, total, strict=True))})
+
+    partial = scaled.mapInPandas(moments, "pair int, " + ", ".join(f"{m} double" for m in MOMENTS)).where("n > 0")
+    whole = Window.partitionBy("pair")
+    for axis in "xy":
+        # Distances from the least mean, so that equal means stay exactly equal.
+        partial = partial.withColumn(f"d{axis}", F.col(f"m{axis}") - F.min(f"m{axis}").over(whole))
+        mean = F.sum(F.col("n") * F.col(f"d{axis}")).over(whole) / F.sum("n").over(whole)
+        partial = partial.withColumn(f"e{axis}", F.col(f"d{axis}") - mean)
+    added = partial.groupBy("pair").agg(
+        F.sum("n").cast("bigint").alias("n"),
+        *[F.sum(F.col(f"c{u}{v}") + F.col("n") * F.col(f"e{u}") * F.col(f"e{v}")).alias(f"c{u}{v}") for u, v in ("xx", "yy", "xy")],
     )
+    labels = session.createDataFrame([(k, x, y) for k, (x, y) in enumerate(pairs)], "pair int, x string, y string")
+    r = _bounded(F.try_divide(F.col("cxy"), F.sqrt("cxx") * F.sqrt("cyy")))
+    found = labels.join(added, "pair", "left").select("x", "y", F.when(F.col("n") >= MIN_PAIRS, r).alias("r"), F.coalesce("n", F.lit(0)).alias("n"))
+    return found.select("x", "y", "r", F.col("n").cast("bigint").alias("n"))
+
+
+MOMENTS = ("n", "mx", "my", "cxx", "cyy", "cxy")
+
+
+def batch_moments(values: np.ndarray, partners: Mapping[int, list[tuple[int, int]]], size: int) -> np.ndarray:
+    out, present = np.zeros((6, size)), ~np.isnan(values)
+    for i, listed in partners.items():
+        numbers, others = (list(part) for part in zip(*listed, strict=True))
+        both = present[:, others] & present[:, [i]]
+        n = both.sum(axis=0)
+        first = both.argmax(axis=0)
+        centred = []
+        for column, start in ((values[:, [i]], values[first, i]), (values[:, others], values[first, others])):
+            start = np.where(n > 0, start, 0.0)
+            away = np.where(both, column - start, 0.0)
+            mean = away.sum(axis=0) / np.maximum(n, 1)
+            centred.append((start + mean, np.where(both, away - mean, 0.0)))
+        (mx, dx), (my, dy) = centred
+        out[:, numbers] = n, mx, my, (dx * dx).sum(axis=0), (dy * dy).sum(axis=0), (dx * dy).sum(axis=0)
+    return out
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together."""
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1)
+    x, y = np.where(a[0] > 0, b[1] - a[1], 0.0), np.where(a[0] > 0, b[2] - a[2], 0.0)
+    start_x, start_y = np.where(a[0] > 0, a[1], b[1]), np.where(a[0] > 0, a[2], b[2])
+    weight = a[0] * share
+    return np.stack([
+        n, start_x + x * share, start_y + y * share, a[3] + b[3] + weight * x * x, a[4] + b[4] + weight * y * y, a[5] + b[5] + weight * x * y
+    ])
+
+
+def _bounded(r: Column) -> Column:
+    return F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
 
 
 # -- ranks -----------------------------------------------------------------------------------------
@@ -146,9 +159,9 @@ def spearman(df: DataFrame, names: Sequence[str], scratch: Scratch | None = None
             for condition in present:
                 mask = mask & condition
             wanted.setdefault((name, joint), (f"k{len(wanted)}", F.when(mask, q(name))))
-        pairs[(x, y)] = (F.col("r" + wanted[(x, joint)][0]), F.col("r" + wanted[(y, joint)][0]))
+        pairs[(x, y)] = ("r" + wanted[(x, joint)][0], "r" + wanted[(y, joint)][0])
     keyed = df.select(q(ROW_ID), *[column.alias(label) for label, column in wanted.values()])
-    return pearson_pairs(with_ranks(keyed, [label for label, _ in wanted.values()], scratch), pairs)
+    return pair_correlations(with_ranks(keyed, [label for label, _ in wanted.values()], scratch), pairs)
 
 
 def _missing_patterns(df: DataFrame, names: Sequence[str]) -> dict[str, str | None]:

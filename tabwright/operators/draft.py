@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tabwright.errors import TableError
 from tabwright.functions.names import ROW_ID, data_columns, dtype_of, q
-from tabwright.functions.numbers import as_number, is_numeric, is_temporal, is_text
+from tabwright.functions.numbers import as_number, is_numeric, is_temporal
 
 
 @dataclass
@@ -131,18 +131,19 @@ class Draft:
 
 
 def cells_differ(old: Column, old_type: T.DataType, new: Column, new_type: T.DataType) -> Column:
-    """Whether a cell changed: two missing cells are equal, numbers compare by value, the rest by text."""
+    """Whether a cell changed: two missing cells are equal, numbers and moments compare by value, the rest by text."""
     if is_numeric(old_type) and is_numeric(new_type):
         return ~old.cast("double").eqNullSafe(new.cast("double"))
-    if is_text(old_type) and is_numeric(new_type):
-        differ = ~as_number(old, old_type).eqNullSafe(new.cast("double"))
-        return (old.isNull() != new.isNull()) | (old.isNotNull() & differ)
+    if is_temporal(old_type) and is_temporal(new_type):
+        return ~F.unix_micros(old.cast("timestamp")).eqNullSafe(F.unix_micros(new.cast("timestamp")))
     return ~_cell_text(old, old_type).eqNullSafe(_cell_text(new, new_type))
 
 
 def _cell_text(column: Column, dtype: T.DataType) -> Column:
     if is_temporal(dtype):
-        return F.concat(F.date_format(column, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
+        moment = column.cast("timestamp")
+        fraction = F.when(F.unix_micros(moment) % 1_000_000 != 0, F.date_format(moment, ".SSSSSS")).otherwise("")
+        return F.concat(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"), fraction, F.lit("+00:00"))
     return column.cast("string")
 
 

@@ -17,7 +17,7 @@ def attach(df: DataFrame, key: Column, table: DataFrame, size: int, out: str, sp
     Beyond that the join shuffles, and no key may own a task: with ``hot`` (the table's rows for the
     few frequent keys, at most ``BROADCAST_ROWS`` by construction) those keys are resolved by
     broadcast and only the rest is shuffled; without it the table is copied ``COPIES`` times and each
-    row goes to one of the copies. Rows with nothing to look up are spread evenly.
+    row goes to one of the copies. Rows with nothing to look up are spread over ``SPREAD`` slots.
     """
     if size <= BROADCAST_ROWS:
         small = table.select(F.col("key").alias("__k"), F.col("payload").alias(out))
@@ -33,7 +33,8 @@ def attach(df: DataFrame, key: Column, table: DataFrame, size: int, out: str, sp
         joined = rows.join(rest, (F.col("__ck") == F.col("__k")) & (F.col("__cs") == F.col("__s")), "left")
         resolved = F.coalesce("__hp", "__p").alias(out)
     else:
-        rows = df.select("*", key.alias("__ck"), F.pmod(F.xxhash64(spread_by), F.lit(COPIES)).cast("int").alias("__cs"))
+        slots = F.when(key.isNull(), SPREAD).otherwise(COPIES)
+        rows = df.select("*", key.alias("__ck"), F.pmod(F.xxhash64(spread_by), slots).cast("int").alias("__cs"))
         copies = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("__s")
         rest = table.select(F.col("key").alias("__k"), F.col("payload").alias("__p"), copies)
         joined = rows.join(rest, (F.col("__ck") == F.col("__k")) & (F.col("__cs") == F.col("__s")), "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwright.operators.correlation import correlation, pearson_blocks
+from tabwright.operators.correlation import correlation, pearson
 from tabwright.queries.views import read, view, with_views
 from tabwright.sources.table import identified
 
@@ -61,16 +61,56 @@ for _method in ("pearson", "spearman"):
         with_views(f"{_T} {_pairs('t', _method == 'spearman')}", "dirty_orders"),
     )
 
-register(
-    "corr_many_columns",
-    lambda spark, folder: _rounded(pearson_blocks(_frame(spark, folder), COLUMNS)),
-    with_views(f"{_T} {_pairs('t', False)}", "dirty_orders"),
-)
+WIDE = tuple(f"w{k:02}" for k in range(40))
+_WIDE_VALUES = {
+    # Gaps of its own in every column; one column of huge values; one whose spread is tiny on the rows it shares with w02.
+    **{name: f"CASE WHEN o_orderkey % {k + 3} <> 1 THEN (o_totalprice + o_custkey * {k}) % {97 + k} END" for k, name in enumerate(WIDE)},
+    "w01": "o_totalprice * 1e155",
+    "w02": "CASE WHEN o_orderkey % 50 = 7 THEN o_totalprice END",
+    "w03": "CASE WHEN o_orderkey % 50 = 7 THEN 1.0 + (o_custkey % 100) * 1e-7 ELSE 1000000.0 END",
+}
+
+
+def _wide_sql(kind: str) -> str:
+    return "SELECT o_orderkey, " + ", ".join(f"CAST({value} AS DOUBLE) AS {name}" for name, value in _WIDE_VALUES.items()) + f" FROM {kind}"
+
+
+def _wide(spark, folder):
+    read(spark, folder, "orders").createOrReplaceTempView("tabwright_orders")
+    return _rounded(pearson(spark.sql(_wide_sql("tabwright_orders")), WIDE))
+
+
+def _wide_oracle() -> str:
+    """Means and co-moments of the shared rows, centred before they are multiplied, huge columns scaled."""
+    scaled = ", ".join(f"{name} / {1e155 if name == 'w01' else 1.0} AS {name}" for name in WIDE)
+    parts = []
+    for i, x in enumerate(WIDE):
+        for y in WIDE[i:]:
+            both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+            parts.append(
+                f"SELECT '{x}' AS x, '{y}' AS y, (SELECT CASE WHEN count(*) >= 3 AND var_pop({x}) > 0 AND var_pop({y}) > 0 "
+                f"THEN round(covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})), 6) END FROM t WHERE {both}) AS r, "
+                f"(SELECT count(*) FROM t WHERE {both}) AS n"
+            )
+    return f"WITH w AS ({_wide_sql('orders')}), t AS MATERIALIZED (SELECT {scaled} FROM w) " + " UNION ALL ".join(parts)
+
+
+register("corr_many_columns", _wide, _wide_oracle())
 
 
 def _sampled(spark, folder):
-    frame = read(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")
-    return _rounded(correlation(identified(frame), None, "pearson", max_rows=1000, max_columns=3))
+    """The sample's size, the table's, and whether its coefficients are near those of all rows."""
+    frame = identified(read(spark, folder, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("buyer")), "o_orderkey")
+    roles = {"o_orderkey": "id", "o_totalprice": "numeric", "buyer": "numeric"}
+    part = correlation(frame, roles, "pearson", max_rows=1000, max_columns=3)
+    full = correlation(frame, roles, "pearson").select("x", "y", F.col("r").alias("full_r"), F.col("n").alias("total_rows"))
+    near = F.abs(F.col("r") - F.col("full_r")) < 0.2
+    return part.join(full, ["x", "y"]).select("x", "y", F.col("n").alias("rows_used"), "total_rows", near.alias("near"))
 
 
-register("corr_sampled", _sampled)
+register(
+    "corr_sampled",
+    _sampled,
+    """SELECT x, y, least(1000, n) AS rows_used, n AS total_rows, true AS near FROM (SELECT count(*) AS n FROM orders),
+(VALUES ('o_totalprice', 'o_totalprice'), ('o_totalprice', 'buyer'), ('buyer', 'buyer')) v(x, y)""",
+)

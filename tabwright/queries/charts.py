@@ -126,7 +126,7 @@ register(
     "compare_histogram",
     _compare,
     with_views(
-        f"""{RUN_CTES}, u AS (SELECT 'before' AS phase, price AS v FROM dirty_orders UNION ALL SELECT 'after', price FROM s7)
+        f"""{RUN_CTES}, u AS (SELECT 'before' AS phase, price AS v FROM dirty_orders UNION ALL SELECT 'after', price FROM s8)
         {binned_sql('price', 'u', '30', True)}""",
         "dirty_orders",
     ),
@@ -157,14 +157,14 @@ def _report_sql() -> str:
     def bins(source, *columns):
         return [f"SELECT least(60, greatest(1, ceil(sqrt(count({c}))))) FROM {source}" for c in columns]
 
-    for phase, source in (("before", "dirty_orders"), ("after", "s7")):
+    for phase, source in (("before", "dirty_orders"), ("after", "s8")):
         add(phase, "missing", "SELECT 6")
     add("before", "numeric", *bins("dirty_orders", "price"))
     add("before", "category", *distinct("dirty_orders", "price_text", "priority", "day_text", "status"))
     add("after", "correlation", "SELECT 3")
-    add("after", "numeric", *bins("s7", "price", "price_text"))
-    add("after", "category", *distinct("s7", "priority", "status"))
-    add("after", "datetime", *distinct("s7", "day_text"))
+    add("after", "numeric", *bins("s8", "price", "price_text"))
+    add("after", "category", *distinct("s8", "priority", "status"))
+    add("after", "datetime", *distinct("s8", "day_text"))
     add("comparison", "numeric", "SELECT 60")
     return with_views(f"{RUN_CTES} {' UNION ALL '.join(parts)}", "dirty_orders")
 

@@ -355,7 +355,7 @@ register(
 def _export(spark, folder):
     result = prepared(spark, folder)
     path = Scratch(spark).path("learning")
-    export_ml(result, path, spark, max_dense_cells=0)
+    export_ml(result, path, spark)
     back = spark.read.parquet(f"{path}/prepared")
     return back.select(q(ROW_ID).alias("row_id"), "split", F.round("label", 6).alias("label"))
 
@@ -366,8 +366,7 @@ register("ml_export", _export, with_views(f"{SPLIT} SELECT row_id, split, round(
 def _dense_export(spark, folder):
     result = prepared(spark, folder, categorical_columns=[], scaler="none")
     path = Scratch(spark).path("learning")
-    cells = result.split.sizes["test"] * len(result.fitted.names)
-    manifest = export_ml(result, path, spark, max_dense_cells=cells)
+    manifest = export_ml(result, path, spark, write_dense=True)
     frame = spark.read.parquet(*[f"{path}/dense_{part}" for part in manifest["dense_parts"]])
     return frame.select(q(ROW_ID).alias("row_id"), F.round(q("numeric__amount"), 6).alias("amount"), F.round(q("numeric__visits"), 6).alias("visits"))
 
@@ -375,5 +374,5 @@ def _dense_export(spark, folder):
 register(
     "ml_dense_export",
     _dense_export,
-    with_views(f"{numbers_sql('none')} SELECT row_id, {SCALED} FROM s, p WHERE split <> 'train'", "learn"),
+    with_views(f"{numbers_sql('none')} SELECT row_id, {SCALED} FROM s, p", "learn"),
 )

@@ -270,7 +270,7 @@ def _compare_sql() -> str:
         for m in metrics
     )
     plain = lambda source: overview_sql(source, ORDER_COLUMNS).replace("round(100.0", "(100.0").replace(", 1), 6)", ", 1))")
-    return with_views(f"{RUN_CTES}, a AS ({plain('dirty_orders')}), b AS ({plain('s7')}) {picks}", "dirty_orders")
+    return with_views(f"{RUN_CTES}, a AS ({plain('dirty_orders')}), b AS ({plain('s8')}) {picks}", "dirty_orders")
 
 
 register("compare_profiles", _compare, _compare_sql())
@@ -298,12 +298,12 @@ def _issues_after_sql() -> str:
     def add(phase, column, kind, value):
         found.append(f"""SELECT '{phase}' AS phase, '{column}' AS "column", '{kind}' AS kind, ({value}) AS count""")
 
-    for phase, source in (("before", "dirty_orders"), ("after", "s7")):
+    for phase, source in (("before", "dirty_orders"), ("after", "s8")):
         add(phase, "(table)", "duplicates", f"(SELECT count(*) FROM {source}) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(ORDER_COLUMNS)} FROM {source}))")
         for column in ORDER_COLUMNS:
             add(phase, column, "missing", f"SELECT count(*) FILTER ({column} IS NULL) FROM {source}")
         add(phase, "price", "outliers", fences(source, "price"))
-    add("after", "price_text", "outliers", fences("s7", "price_text"))
+    add("after", "price_text", "outliers", fences("s8", "price_text"))
     add("before", "day_text", "datetime_unparsed", "SELECT count(day_text) FROM dirty_orders")
     for column in ("price_text", "priority"):
         add("before", column, "whitespace", f"SELECT count(*) FILTER ({column} <> {strip_sql(column)}) FROM dirty_orders")

@@ -35,7 +35,7 @@ def _write_csv(spark, folder):
 register(
     "write_csv",
     _write_csv,
-    with_views(f"{RUN_CTES} SELECT cust_id, round(price, 6) AS price, priority, status, CAST(day_text AS DATE) AS day FROM s7", "dirty_orders"),
+    with_views(f"{RUN_CTES} SELECT cust_id, round(price, 6) AS price, priority, status, CAST(day_text AS DATE) AS day FROM s8", "dirty_orders"),
 )
 def _schema_table(spark, folder):
     """Schema of the written result, with the cells each column holds."""
@@ -56,7 +56,7 @@ register(
         RUN_CTES
         + " "
         + " UNION ALL ".join(
-            f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS type, count({c}) AS valid FROM s7""" for i, (c, t) in enumerate(_TYPES.items())
+            f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS type, count({c}) AS valid FROM s8""" for i, (c, t) in enumerate(_TYPES.items())
         ),
         "dirty_orders",
     ),

@@ -9,7 +9,7 @@ from tabwright.queries.views import number_sql, read, strip_sql, view, with_view
 from tabwright.session import Scratch, configure
 from tabwright.sources import infer
 from tabwright.sources.json import flatten
-from tabwright.sources.load import LoadOptions, bad_records, check_rows, load, metadata_table, scan
+from tabwright.sources.load import LoadOptions, bad_records, load, metadata_table, scan
 
 QUERIES, SQL = {}, {}
 
@@ -179,7 +179,7 @@ def _row_guard(spark, folder):
     outcomes = []
     for limit in (rows, rows - 1):
         try:
-            check_rows(rows, limit)
+            load(spark, f"{folder}/lineitem.parquet", LoadOptions(max_rows=limit, infer_numeric=False))
             outcomes.append((limit, True))
         except ValueError:
             outcomes.append((limit, False))
@@ -195,7 +195,12 @@ register(
 
 def _source_metadata(spark, folder):
     table = load(configure(spark), f"{folder}/customer.parquet", row_id="c_custkey")
-    return metadata_table(spark, table)
+    found = metadata_table(spark, table)
+    return found.select("source", "format", "rows", "columns", "sampled", (F.col("bytes") > 0).alias("has_bytes"))
 
 
-register("source_metadata", _source_metadata)
+register(
+    "source_metadata",
+    _source_metadata,
+    "SELECT 'customer.parquet' AS source, 'parquet' AS format, count(*) AS rows, 5 AS columns, false AS sampled, true AS has_bytes FROM customer",
+)

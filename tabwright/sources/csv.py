@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import io
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +12,9 @@ from tabwright.errors import TableError
 from tabwright.functions.names import q
 from tabwright.sources.options import LoadOptions, suffix_of
 
-HEAD_CHARACTERS = 65_536
-HEAD_LINES = 500
 DELIMITERS = ",;\t|"
 CORRUPT = "_corrupt_record"
+MAX_COLUMNS = 1_000_000  # of the parser; load(max_columns=...) is the limit to set
 
 
 def read_csv(spark: SparkSession, path: str, options: LoadOptions) -> DataFrame:
@@ -39,39 +37,48 @@ def _schema(header: list[str]) -> T.StructType:
 
 
 def _reader(spark: SparkSession, path: str, options: LoadOptions):
-    head = _head(spark, path, options)
-    delimiter = options.delimiter or ("\t" if suffix_of(path) == ".tsv" else detect_delimiter(head))
-    header = parse_header(head, delimiter)
+    encoding = options.spark_encoding(spark)
+    first = spark.read.option("encoding", encoding).text(path).filter(F.trim(F.regexp_replace("value", "\ufeff", "")) != "").first()
+    if first is None:
+        raise TableError("the file is empty")
+    delimiter = options.delimiter or ("\t" if suffix_of(path) == ".tsv" else detect_delimiter(first[0]))
+    multi_line = options.multi_line if options.multi_line is not None else _spans_lines(spark, path, encoding, delimiter)
+    whole = spark.read.options(sep=delimiter, quote='"', escape='"', encoding=encoding, multiLine=multi_line, maxColumns=MAX_COLUMNS)
+    header = check_header([name or "" for name in whole.csv(path).first()])
     if options.max_columns is not None and len(header) > options.max_columns:
         raise TableError(f"more than {options.max_columns} columns")
     # Column pruning would let rows of the wrong width pass whenever not every column is read.
     reader = spark.read.options(
-        header=True, sep=delimiter, quote='"', escape='"', encoding=options.spark_encoding(spark),
-        multiLine=bool(options.multi_line), enforceSchema=False, columnPruning=False, inferSchema=False,
+        header=True, sep=delimiter, quote='"', escape='"', encoding=encoding, maxColumns=MAX_COLUMNS,
+        multiLine=multi_line, enforceSchema=False, columnPruning=False, inferSchema=False,
     )
     return header, reader
 
 
-def _head(spark: SparkSession, path: str, options: LoadOptions) -> str:
-    lines = spark.read.option("encoding", options.spark_encoding(spark)).text(path).limit(HEAD_LINES).collect()
-    text = "\n".join(row[0] for row in lines)[:HEAD_CHARACTERS]
-    if not text.strip("\ufeff \r\n"):
-        raise TableError("the file is empty")
-    return text.removeprefix("\ufeff")
+def _spans_lines(spark: SparkSession, path: str, encoding: str, delimiter: str) -> bool:
+    """Whether some cell holds a line break, so that a record is more than a line: some line has an odd number
+    of quotes. Otherwise text after a closing quote is an error, which a lenient parser would take as content."""
+    lines = spark.read.option("encoding", encoding).text(path).filter(F.contains("value", F.lit('"')))
+    odd = F.length(F.replace("value", F.lit('"'), F.lit(""))) % 2 != F.length("value") % 2
+    sep = re.escape(delimiter)
+    cells = F.regexp_replace("value", '"(?:[^"]++|"")*+"', "\u0001")
+    found = lines.agg(F.max(odd).alias("odd"), F.max(F.rlike(cells, F.lit(f"(^|{sep})\u0001[^{sep}]"))).alias("bad")).first()
+    if found["bad"] and not found["odd"]:
+        raise TableError("text follows a closing quote")
+    return bool(found["odd"])
 
 
-def detect_delimiter(head: str) -> str:
-    try:
-        return csv.Sniffer().sniff(head, delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        return ","
+def detect_delimiter(header: str) -> str:
+    """The candidate that the header has most of outside quotes; a comma if it has none."""
+    bare = re.sub('"[^"]*"', "", header)
+    return max(DELIMITERS, key=bare.count)
 
 
-def parse_header(head: str, delimiter: str) -> list[str]:
-    header = next(csv.reader(io.StringIO(head), delimiter=delimiter), [])
-    if not header or any(not name.strip() for name in header):
+def check_header(header: list[str]) -> list[str]:
+    if header:
+        header = [header[0].removeprefix("\ufeff"), *header[1:]]
+    if not all(name.strip() for name in header):
         raise TableError("every column needs a name")
-    repeated = sorted({name for name in header if header.count(name) > 1})
-    if repeated:
-        raise TableError(f"repeated column names: {repeated}")
+    if len(set(header)) < len(header):
+        raise TableError(f"repeated column names: {sorted({name for name in header if header.count(name) > 1})}")
     return header

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,14 +10,13 @@ from tabwright.errors import TableError
 from tabwright.functions.names import q
 from tabwright.sources.options import LoadOptions
 
-HEAD_LINES = 100
 CORRUPT = "_corrupt_record"
 
 
 def read_json_lines(spark: SparkSession, path: str, options: LoadOptions) -> DataFrame:
     """One object per line; a bad line fails the read. Columns are the union over all records."""
     records = _reader(spark, options).option("mode", "FAILFAST").json(path)
-    return flatten(records, _first_seen(spark, path, options))
+    return flatten(records)
 
 
 def bad_json_lines(spark: SparkSession, path: str, options: LoadOptions) -> DataFrame:
@@ -37,9 +34,10 @@ def read_json_documents(spark: SparkSession, path: str, options: LoadOptions) ->
     multi_line = options.multi_line is not False
     documents = _reader(spark, options).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
     if not options.json_path:
-        first = spark.read.option("encoding", options.spark_encoding(spark)).text(path).filter(F.trim("value") != "").first()
-        if first is not None and not first[0].lstrip("\ufeff \t").startswith("["):
-            raise TableError("the document is not a list of objects; choose the path of the list")
+        texts = spark.read.option("encoding", options.spark_encoding(spark)).text(path, wholetext=multi_line)
+        start = F.substring(F.regexp_replace("value", "^[\ufeff\\s]+", ""), 1, 1)
+        if not texts.filter((start != "[") & (start != "")).isEmpty():
+            raise TableError("a document is not a list of objects; choose the path of the list")
         return flatten(documents)
     column: Column | None = None
     dtype: T.DataType = documents.schema
@@ -60,30 +58,8 @@ def _reader(spark: SparkSession, options: LoadOptions):
     return spark.read.option("encoding", options.spark_encoding(spark)).option("lineSep", "\n")
 
 
-def _first_seen(spark: SparkSession, path: str, options: LoadOptions) -> list[str]:
-    """Flattened names in the order the first records list them; Spark itself sorts fields by name."""
-    names: dict[str, None] = {}
-
-    def visit(value: dict, prefix: str = "") -> None:
-        for key, item in value.items():
-            name = f"{prefix}{key}"
-            if isinstance(item, dict) and item:
-                visit(item, name + ".")
-            else:
-                names.setdefault(name)
-
-    for row in spark.read.option("encoding", options.spark_encoding(spark)).text(path).limit(HEAD_LINES).collect():
-        try:
-            record = json.loads(row[0].lstrip("\ufeff")) if row[0].strip() else {}
-        except json.JSONDecodeError:
-            continue
-        if isinstance(record, dict):
-            visit(record)
-    return list(names)
-
-
-def flatten(df: DataFrame, order: list[str] = ()) -> DataFrame:
-    """Objects become dotted columns, recursively; two routes to one name are an error."""
+def flatten(df: DataFrame) -> DataFrame:
+    """Objects become dotted columns, recursively, sorted by name; two routes to one name are an error."""
     found: list[tuple[str, Column]] = []
 
     def visit(column: Column, field: T.StructField, name: str) -> None:
@@ -99,8 +75,7 @@ def flatten(df: DataFrame, order: list[str] = ()) -> DataFrame:
     clashing = sorted({name for name in names if names.count(name) > 1})
     if clashing:
         raise TableError(f"column names collide after flattening: {clashing}")
-    place = {name: i for i, name in enumerate(order)}
-    found.sort(key=lambda item: place.get(item[0], len(place)))
+    found.sort(key=lambda item: item[0])
     return df.select(*[column.alias(name) for name, column in found])
 
 
