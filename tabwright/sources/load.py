@@ -18,7 +18,7 @@ from tabwright.sources import infer
 from tabwright.sources.csv import bad_csv_rows, read_csv
 from tabwright.sources.json import bad_json_lines, cell, read_json_documents, read_json_lines
 from tabwright.sources.options import LoadOptions, format_of, suffix_of
-from tabwright.sources.table import Table, identified
+from tabwright.sources.table import Table, identified, placed
 
 
 def scan(spark: SparkSession, path: str, options: LoadOptions | None = None) -> DataFrame:
@@ -49,6 +49,8 @@ def load(
     try:
         raw = scan(spark, path, options)
         check_columns(raw.columns, options.max_columns)
+        if row_id is None and not (format_of(path) == "json" and options.json_path):
+            raw = placed(raw, format_of(path) == "parquet")
         frame = infer.mark_missing(raw, options.missing_tokens)
         names = infer.candidates(frame) if options.infer_numeric else []
         row = infer.readings(frame, names, options.decimal).agg(F.count("*").alias("rows"), *infer.inference_measures(names)).first()

@@ -191,3 +191,24 @@ def test_small_sinks(spark, tmp_path):
         write_table(frame, str(tmp_path / "x"), "orc")
     day = frame.first()["b"]
     assert plain({1: [day, float("-inf"), (2, None)]}) == {"1": ["2030-02-01", None, [2, None]]}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_identity_follows_files(spark, tmp_path, fmt):
+    """Files of unequal size, packed in any way: the order is that of names, then of rows."""
+    folder = tmp_path / f"many.{fmt}"
+    for name, low, high in (("c", 0, 1), ("b", 1, 400), ("a", 400, 420)):
+        part = spark.range(low, high, 1, 1).selectExpr("id AS n", "id % 2 AS k")
+        part.write.option("header", True).format(fmt).save(str(tmp_path / f"{fmt}-{name}"))
+        source = next((tmp_path / f"{fmt}-{name}").glob("part-*"))
+        folder.mkdir(exist_ok=True)
+        (folder / f"{name}.{fmt}").write_bytes(source.read_bytes())
+    want = [*range(400, 420), *range(1, 400), 0]
+    for size in ("128MB", "1KB"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", size)
+        try:
+            assert [c[0] for c in cells(load(spark, str(folder)))] == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
