@@ -43,12 +43,6 @@ def role_by_distinct(distinct: int, rows: int) -> str:
     return "category" if distinct <= CATEGORY_LIMIT or distinct / max(rows, 1) < CATEGORY_SHARE else "text"
 
 
-def undecided(df: DataFrame, columns: Iterable[str], roles: Mapping[str, str] | None) -> list[str]:
-    """Columns whose role needs a distinct count."""
-    roles = roles or {}
-    return [c for c in columns if c not in roles and role_by_type(c, df.schema[c].dataType) is None]
-
-
 def roles_after(roles: Mapping[str, str], columns: Iterable[str], steps: Iterable[Mapping]) -> dict[str, str]:
     """Roles on the cleaned table: a cast renews the role unless it is id or ignore."""
     # The role a cast gives.

@@ -173,10 +173,22 @@ def stratified_split(df: DataFrame, label: Column, counts: Mapping[str, int], te
     sizes = stratified_sizes(counts, test, validation)
     ranks = {g: [train, train + valid] for g, (train, valid, _) in sizes.items()}
     cuts = hash_cuts(df, seed, counts, ranks, label)
-    column = None
-    for g, (first, second) in cuts.items():
-        part = F.when(before(first, seed), TRAIN).when(before(second, seed), VALIDATION).otherwise(TEST)
-        column = (F if column is None else column).when(label == F.lit(g), part)
+    # One look-up of a class's two cuts instead of a branch per class.
+    kind = df.schema[ROW_ID].dataType
+
+    def packed(cut: Cut | None) -> Column:
+        none = cut is None
+        return F.struct(F.lit(none).alias("all"), F.lit(0 if none else cut.hash).cast("bigint").alias("hash"), F.lit(None if none else cut.row).cast(kind).alias("row"))
+
+    pieces = [p for g, pair in cuts.items() for p in (F.lit(g), F.array(*map(packed, pair)))]
+    found = F.try_element_at(F.create_map(*pieces), label)
+    value = row_hash(seed)
+
+    def precedes(k: int) -> Column:
+        cut = found[k]
+        return cut["all"] | (value < cut["hash"]) | ((value == cut["hash"]) & (q(ROW_ID) < cut["row"]))
+
+    column = F.when(found.isNull(), F.lit(None).cast("string")).when(precedes(0), TRAIN).when(precedes(1), VALIDATION).otherwise(TEST)
     totals = {name: sum(s[i] for s in sizes.values()) for i, name in enumerate((TRAIN, VALIDATION, TEST))}
     return Split(column, totals)
 
