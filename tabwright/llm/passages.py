@@ -14,7 +14,7 @@ from tabwright.session import Scratch
 
 WINDOW = 35
 ANCHOR = 8  # words of an anchor; a window holds WINDOW - ANCHOR + 1 of them and is represented by the least
-PREFIXES = (8, 17, 26)  # prefix lengths: a group that is too large is split by the next
+PREFIXES = (8, 20)  # prefix lengths: a group that is too large is split by the next, at last by the whole window
 GROUP = 50_000  # suffixes of one task's trees
 
 
@@ -82,13 +82,13 @@ def runs(window: int):
 def suffixes(window: int):
     """Arrow function of texts and some of their runs: one suffix per window: its run, its place there, the
     hashes of its prefixes of growing length, and that of the whole window."""
-    fields = [("anchor", pa.int64()), ("run", pa.int64()), ("place", pa.int32()), *((f"p{n}", pa.int64()) for n in PREFIXES), ("leaf", pa.int64())]
+    fields = [("kind", pa.int64()), ("place", pa.int32()), *((f"p{n}", pa.int64()) for n in PREFIXES), ("leaf", pa.int64())]
     shape = pa.struct(fields)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, some in batches:
             limits, values = list_parts(some)
-            at, size, anchor, name = (values.field(x).to_numpy(zero_copy_only=False) for x in ("at", "size", "anchor", "run"))
+            at, size, kind = (values.field(x).to_numpy(zero_copy_only=False) for x in ("at", "size", "kind"))
             parts, sizes = [], []
             for first, flat, offsets in chunks(texts):
                 starts, ends, words = word_spans(flat, offsets)
@@ -100,12 +100,12 @@ def suffixes(window: int):
                 where = span_index(begins, count)
                 of = np.repeat(np.arange(low, high), count)
                 hashes = [span_hashes(names, where, where + n).view(np.int64) for n in (*PREFIXES, window)]
-                parts.append([anchor[of], name[of], (where - np.repeat(begins, count)).astype(np.int32), *hashes])
+                parts.append([kind[of], (where - np.repeat(begins, count)).astype(np.int32), *hashes])
                 sizes += np.bincount(np.repeat(text, count), minlength=len(offsets) - 1).tolist()
             yield list_column(parts, sizes, shape)
 
-    kind = "anchor:bigint,run:bigint,place:int," + ",".join(f"p{n}:bigint" for n in PREFIXES) + ",leaf:bigint"
-    return F.arrow_udf(run, f"array<struct<{kind}>>")
+    shown = "kind:bigint,place:int," + ",".join(f"p{n}:bigint" for n in PREFIXES) + ",leaf:bigint"
+    return F.arrow_udf(run, f"array<struct<{shown}>>")
 
 
 def deep_nodes(rows: pa.Table) -> pa.Table:
@@ -120,11 +120,11 @@ def deep_nodes(rows: pa.Table) -> pa.Table:
     deep = np.zeros(len(rows), bool)
     deep[1:] |= same
     deep[:-1] |= same
-    return rows.select(["anchor", "run", "place"]).filter(pa.array(deep))
+    return rows.select(["kind", "place"]).filter(pa.array(deep))
 
 
 def repeated_places(leaves: DataFrame, scratch: Scratch, group: int = GROUP) -> DataFrame:
-    """(anchor, run, place) of the suffixes whose window is also that of another suffix.
+    """(kind, place) of the suffixes whose window is also that of another suffix.
 
     The shortest prefix under which there are at most `group` suffixes names a suffix's tree; trees are dealt
     into as many tasks as the suffixes ask for. Suffixes whose whole window is shared by more than `group` are
@@ -132,17 +132,18 @@ def repeated_places(leaves: DataFrame, scratch: Scratch, group: int = GROUP) ->
     """
     leaves = scratch.table(leaves)
     tasks = max(1, -(-leaves.count() // group) * 2)
-    names = [*(f"p{n}" for n in PREFIXES), "leaf"]
-    open_, dealt = leaves, []
-    for name in names:
-        large = open_.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select(name)
-        dealt.append(open_.join(large, name, "left_anti").withColumn("task", F.pmod(F.xxhash64(name), F.lit(tasks))))
+    open_, found = leaves, None
+    for name in (*(f"p{n}" for n in PREFIXES), "leaf"):
+        # At most one in `group` suffixes: a table so small that it is usually broadcast, and mostly empty.
+        large = scratch.table(open_.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select(name))
+        some = not large.isEmpty()
+        dealt = open_.join(large, name, "left_anti") if some else open_
+        trees = dealt.withColumn("task", F.pmod(F.xxhash64(name), F.lit(tasks))).groupBy("task").applyInArrow(deep_nodes, "kind long, place int")
+        found = trees if found is None else found.unionByName(trees)
+        if not some:
+            return found
         open_ = open_.join(large, name, "left_semi")
-    trees = dealt[0]
-    for more in dealt[1:]:
-        trees = trees.unionByName(more)
-    found = trees.groupBy("task").applyInArrow(deep_nodes, "anchor long, run long, place int")
-    return found.unionByName(open_.select("anchor", "run", "place"))
+    return found.unionByName(open_.select("kind", "place"))
 
 
 def covered(window: int):
@@ -214,16 +215,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
 
     mixed = shared.where("not alike")
     shown = F.min(F.struct("doc_id", "text_key", "at", "size")).alias("shown")
-    kinds = scratch.table(mixed.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), shown))
+    kinds = mixed.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), shown)
+    kinds = scratch.table(kinds.withColumn("kind", F.monotonically_increasing_id()))  # written: the numbers stay
     asked = kinds.groupBy(F.col("shown.doc_id").alias("some_id"), F.col("shown.text_key").alias("some_key")).agg(
-        F.collect_list(F.struct("shown.at", "shown.size", "anchor", "run")).alias("some")
+        F.collect_list(F.struct("shown.at", "shown.size", "kind")).alias("some")
     )
     same_row = F.col("doc_id").eqNullSafe(F.col("some_id")) & (F.col("text_key") == F.col("some_key"))
-    held = texts.dropDuplicates(["doc_id", "text_key"]).join(asked, same_row)
+    held = texts.join(asked, same_row).dropDuplicates(["doc_id", "text_key"])
     leaves = held.select(F.explode(suffixes(window)(F.col("text"), F.col("some"))).alias("s")).select("s.*")
-    places = repeated_places(leaves, scratch, group).groupBy("anchor", "run").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    places = repeated_places(leaves, scratch, group).groupBy("kind").agg(F.sort_array(F.collect_list("place")).alias("places"))
     none = F.array().cast("array<int>")
-    judged = kinds.join(places, ["anchor", "run"], "left").select(
+    judged = kinds.join(places, "kind", "left").select(
         "anchor", "run", (F.col("n") > 1).alias("whole"), F.when(F.col("n") > 1, none).otherwise(F.coalesce("places", none)).alias("places")
     )
     judged = judged.where(F.col("whole") | (F.size("places") > 0))
