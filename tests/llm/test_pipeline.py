@@ -30,7 +30,7 @@ def test_stages(spark, docs_of, awkward):
         docs = after
     assert {22, 24, 1, 2, 3}.isdisjoint(seen["language"]) and {20, 21, 23, 4}.issubset(seen["language"])
     assert set(seen["lines"]) == set(seen["language"])
-    assert seen["lines"][30].text == f"{text} number 0 of many others" and seen["lines"][30].n_chars == len(seen["lines"][30].text)
+    assert seen["lines"][30].text == f"{text} number 0 of many others\n" and seen["lines"][30].n_chars == len(seen["lines"][30].text)
     assert 20 in seen["near_duplicates"] and 5 not in seen["near_duplicates"] and 4 in seen["near_duplicates"]
     assert seen["secrets"][23].text == "[SECRET] is in this line of text"
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "unused")
