@@ -1,6 +1,7 @@
 """Encoding with a byte-level byte-pair vocabulary (tokenizers file), on columns of whole texts."""
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import Merges, adjacency, breaks, encode_spans
-from tabwright.llm.text import binaries, chunks, code_points, prepare, share, shared
+from tabwright.llm.text import binaries, chunks, code_points, prepare, share, shared, span_index
 
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 APOSTROPHE = 0x27
@@ -38,7 +39,13 @@ def byte_symbols() -> dict[str, int]:
 class ByteModel:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            content = json.load(file)
+        model, added = content["model"], content.get("added_tokens") or []
+        if odd := [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+            raise ValueError(f"added tokens that depend on their surroundings are not supported: {odd}")
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.mark = re.compile(b"|".join(map(re.escape, longest_first))) if added else None
         vocabulary = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = Merges(
@@ -76,8 +83,35 @@ class ByteModel:
             begin[after[after < n]] = True
         return np.flatnonzero(begin)
 
+    def marks(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, ids) of the added tokens in the texts, the first and longest ones; none crosses texts."""
+        data, at, found = flat.tobytes(), 0, []
+        while self.mark and (m := self.mark.search(data, at)):
+            stop = int(offsets[np.searchsorted(offsets, m.start(), side="right")])
+            if m.end() > stop:
+                m = self.mark.search(data, m.start(), stop)
+            if m:
+                found.append((m.start(), m.end(), self.added[m.group()]))
+            at = m.end() if m else stop
+        return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+    def encode_marked(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, but added tokens of the file have their own ids."""
+        starts, ends, own = self.marks(flat, offsets)
+        if not len(own):
+            return self.encode(flat, offsets)
+        edges = np.unique(np.concatenate([offsets, starts, ends]))
+        ids, bounds = self.encode(flat, edges)
+        at = np.searchsorted(edges, starts)
+        counts = np.diff(bounds)
+        rest = np.ones(len(ids), bool)
+        rest[span_index(bounds[at] + 1, counts[at] - 1)] = False
+        ids[bounds[at]] = own
+        counts[at] = 1
+        return ids[rest], np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(edges, offsets)]
+
     def encode(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and their offsets."""
+        """Ids of all texts and their offsets; added tokens of the file are ordinary text."""
         points, begins = code_points(flat, offsets)
         parts = self.starts(points, begins)
         edge = breaks(self.joined, flat, offsets)
@@ -91,14 +125,17 @@ class ByteModel:
 
 
 class ByteCodec:
-    """Column function of one vocabulary. Null and empty texts have no ids; control strings are ordinary text."""
+    """Column function of one vocabulary. Null and empty texts have no ids."""
 
     def __init__(self, spark: SparkSession, path: str):
         prepare(spark)
         self._model = share(spark, ByteModel(path))  # a vocabulary file: fixed size
 
-    def encode(self, text: Column, end: int | None = None) -> Column:
-        """Ids packed as little-endian unsigned 32-bit integers, `end` after each text if given."""
+    def encode(self, text: Column, end: int | None = None, plain: bool = False) -> Column:
+        """Ids packed as little-endian unsigned 32-bit integers, `end` after each text if given.
+
+        Added tokens of the file, such as <|endoftext|>, have their own ids as in the library, or are ordinary text if `plain`.
+        """
         packed = self._model
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -106,7 +143,7 @@ class ByteCodec:
             for texts in batches:
                 parts = []
                 for _, flat, offsets in chunks(texts):
-                    ids, ends = model.encode(flat, offsets)
+                    ids, ends = (model.encode if plain else model.encode_marked)(flat, offsets)
                     if end is not None:
                         ids, ends = np.insert(ids, ends[1:], end), ends + np.arange(len(ends))
                     parts.append(binaries(ids.astype("<u4"), ends * 4).cast(pa.binary()))

@@ -71,7 +71,7 @@ def turns(conversations: DataFrame, codec: ByteCodec) -> DataFrame:
         F.length(head).alias("mask_start"), F.when(role == LEARNED, F.length(text)).otherwise(0).alias("mask_length"),
         F.col("x.path").alias("node"), F.when(F.col("depth") > 0, F.col("path")[F.col("depth") - 1]).alias("parent"),
     )
-    return formatted.withColumn("ids", codec.encode(F.col("formatted")))
+    return formatted.withColumn("ids", codec.encode(F.col("formatted"), plain=True))
 
 
 def prefix_tree(conversations: DataFrame, codec: ByteCodec, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -66,6 +66,23 @@ def test_byte_ids_match_library(byte_model):
     assert encoded(byte_model, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_match_library_default(spark, byte_model, docs_of):
+    library, draw, mark = Tokenizer.from_file(BYTES), random.Random(5), "<|endoftext|>"
+    texts = [f"a{mark}b", mark, mark * 3, f" {mark} ", f"a  {mark}  b\n{mark}", "<|endof", "text|>", "", f"é{mark[:-1]}{mark}it's{mark}'s", mark[:-1], ">"]
+    texts += ["".join(draw.choice([mark, "<|", "ab", " ", "\n", "é", "'s", "1"]) for _ in range(draw.randint(0, 30))) for _ in range(200)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    flat, offsets = next((flat, offsets) for _, flat, offsets in chunks(pa.array(texts, pa.string())))
+    ids, ends = byte_model.encode_marked(flat, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want and want[0] == [64, 50256, 65]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in token_pieces(docs_of(rows), ByteCodec(spark, BYTES)).collect()}
+    assert got == {i: (len(w) + 1, zlib.crc32(np.array([*w, 1], "<u4").tobytes())) for i, w in enumerate(want)}
+    library.encode_special_tokens = True
+    codec = ByteCodec(spark, BYTES)
+    plain = docs_of(rows).select("doc_id", codec.encode(F.col("text"), plain=True).alias("ids")).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in plain} == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab enth", min_size=1, max_size=40), min_size=1, max_size=8))
 def test_rounds_equal_queue(byte_model, words):
