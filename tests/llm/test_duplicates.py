@@ -149,6 +149,27 @@ def test_lines_keep_one_of_each_group(docs_of, awkward):
     assert without_repeated_lines(docs_of([])).count() == 0
 
 
+def test_lines_with_one_edit_go(docs_of):
+    draw = random.Random(12)
+    rows, edited = [], []
+    for i, size in enumerate([2, 3, 4, 6, 8, 12, 20, 40] * 8):
+        words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(4, 7))) for _ in range(size)]
+        line = " ".join(words)
+        at = draw.choice([k for k, c in enumerate(line) if c != " "])
+        copies = [line[:at] + "é" + line[at + 1 :], line[:at] + line[at + 1 :], line[:at] + "é" + line[at:]]
+        if size >= 12:
+            k = draw.randrange(size)
+            copies.append(" ".join([*words[:k], "é" * len(words[k]), *words[k + 1 :]]))
+        for copy in copies:
+            if len(line) >= 10 or len(copy) >= 10:
+                rows += [(len(rows), line, "en"), (len(rows) + 1, copy, "en")]
+                edited.append(len(rows) - 1)
+    left = {r.row.doc_id for r in without_repeated_lines(docs_of(rows)).collect() if r.kept_text}
+    assert sum(i in left for i in edited) <= 0.02 * len(edited)
+    apart = [(i, " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(9)), "en") for i in range(300)]
+    assert all(r.n_removed == 0 for r in without_repeated_lines(docs_of(apart)).collect())
+
+
 def test_near_values_share_a_block_key(spark):
     draw = random.Random(2)
     pairs = []
