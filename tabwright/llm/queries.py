@@ -130,7 +130,7 @@ SELECT conv_id, n_turns, sha256(said) turns_sha256, length(loss)::BIGINT loss_ch
 def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
     from tabwright.llm.lines import without_repeated_lines
 
-    found = without_repeated_lines(read(spark, folder, "documents"))
+    found = without_repeated_lines(read(spark, folder, "documents"), shortest=1)
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

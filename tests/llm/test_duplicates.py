@@ -170,6 +170,16 @@ def test_lines_with_one_edit_go(docs_of):
     assert all(r.n_removed == 0 for r in without_repeated_lines(docs_of(apart)).collect())
 
 
+def test_short_lines_go_as_equal_copies(docs_of):
+    rows = [(1, "All rights reserved.\nYes\n\n今日は良い天気なので公園まで散歩に行きました", "en"), (2, "all rights reserved\nno\n\nYES!", "en"), (3, "今日は良い天気なので公園まで散歩に行きました\nyet", "ja"), (4, "yes", "en")]
+    got = {r.row.doc_id: r.kept_text for r in without_repeated_lines(docs_of(rows), shortest=1).collect()}
+    assert got == {1: rows[0][1], 2: "no\n", 3: "yet", 4: ""}
+    got = {r.row.doc_id: r.kept_text for r in without_repeated_lines(docs_of(rows), shortest=1, lone=10).collect()}
+    assert got == {1: rows[0][1], 2: "no\n", 3: "yet", 4: "yes"}
+    got = {r.row.doc_id: r.kept_text for r in without_repeated_lines(docs_of(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "no\n\nYES!", 3: "yet", 4: "yes"}
+
+
 def test_near_values_share_a_block_key(spark):
     draw = random.Random(2)
     pairs = []
