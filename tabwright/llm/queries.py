@@ -147,5 +147,12 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judge(read(spark, folder, "documents"))
 
 
-QUERIES = {"op4_lines": op4_lines, "op7_passages": op7_passages, "op10_quality": op10_quality, "op1_chat": op1_chat, "op8_fingerprints": op8_fingerprints, "op9_minhash": op9_minhash, "op2_secrets": op2_secrets, "op6_language": op6_language, "op3_pieces": op3_pieces, "op5_packing": op5_packing}
+def op13_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    from tabwright.llm.token_counts import token_counts
+    from tabwright.session import Scratch
+
+    return token_counts(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark))
+
+
+QUERIES = {"op13_tokens": op13_tokens, "op4_lines": op4_lines, "op7_passages": op7_passages, "op10_quality": op10_quality, "op1_chat": op1_chat, "op8_fingerprints": op8_fingerprints, "op9_minhash": op9_minhash, "op2_secrets": op2_secrets, "op6_language": op6_language, "op3_pieces": op3_pieces, "op5_packing": op5_packing}
 SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op2_secrets": op2_sql()}
