@@ -154,5 +154,38 @@ def op13_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark))
 
 
-QUERIES = {"op13_tokens": op13_tokens, "op4_lines": op4_lines, "op7_passages": op7_passages, "op10_quality": op10_quality, "op1_chat": op1_chat, "op8_fingerprints": op8_fingerprints, "op9_minhash": op9_minhash, "op2_secrets": op2_secrets, "op6_language": op6_language, "op3_pieces": op3_pieces, "op5_packing": op5_packing}
+def op12_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    from tabwright.llm.periodic import periodic_runs, strongest
+
+    found = repeated(read(spark, folder, "documents")).select("doc_id", periodic_runs(spark, F.col("text")).alias("p"))
+    shown = F.transform("p.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat_ws("", F.transform(shown, lambda r: F.concat(r, F.lit("\n"))))
+    best = found.withColumn("best", strongest(F.col("p.runs")))
+    return best.select(
+        "doc_id",
+        F.size("p.runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("p.collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every tenth document by the hash of its id goes on with a stretch of its own words over and over.
+
+    A document without id stays as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("w", F.when(F.col("chosen"), words)).withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text"))
+
+
+QUERIES = {"op12_periodic": op12_periodic, "op13_tokens": op13_tokens, "op4_lines": op4_lines, "op7_passages": op7_passages, "op10_quality": op10_quality, "op1_chat": op1_chat, "op8_fingerprints": op8_fingerprints, "op9_minhash": op9_minhash, "op2_secrets": op2_secrets, "op6_language": op6_language, "op3_pieces": op3_pieces, "op5_packing": op5_packing}
 SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op2_secrets": op2_sql()}
