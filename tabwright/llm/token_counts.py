@@ -9,61 +9,46 @@ all are aligned or the text is one chunk.
 """
 
 import json
-import os
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.text import prepare, share, shared
+from tabwright.llm.bytebpe import ByteModel
+from tabwright.llm.text import chunks, prepare, share, shared
 from tabwright.session import Scratch
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10  # code points
 WIDEN = 4
-BATCH = 1 << 20  # code points encoded at once in a task
 KIND_OF = {"space": 0, "letter": 1, "number": 2, "other": 3}
 # Characters that are white space, or of some kind, in one regular-expression library but not in another.
 UNSURE = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
 KINDS = regex.compile(r"(?P<space>\s+)|(?P<letter>\p{L}+)|(?P<number>\p{N}+)|(?P<other>[^\s\p{L}\p{N}]+)")
 
 
-@dataclass
-class Vocabulary:
-    """The text of a tokenizer file, and its longest added token."""
+class Counter:
+    """The byte-pair model of a tokenizer file, and what the proof of its boundaries rests on."""
 
-    content: str
-    added: tuple[str, ...]
-
-    @classmethod
-    def read(cls, path: str) -> "Vocabulary":
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            content = file.read()
-        parts = json.loads(content)
+            parts = json.load(file)
         before = parts.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         if parts.get("normalizer") or not plain or parts["model"]["type"] != "BPE":
             raise ValueError("boundaries are proven for byte-level BPE files without normalizer and prefix space alone")
-        added = parts.get("added_tokens") or []
-        if odd := [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
-            raise ValueError(f"added tokens that depend on their surroundings are not supported: {odd}")
-        return cls(content, tuple(t["content"] for t in added))
-
-    @property
-    def reach(self) -> int:
-        return max(map(len, self.added), default=1)
-
-    def tokenizer(self):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        from tokenizers import Tokenizer
-
-        found = Tokenizer.from_str(self.content)
-        found.no_truncation()
-        found.no_padding()
-        return found
+        self.model = ByteModel(path)
+        vocabulary, marks = parts["model"]["vocab"], parts.get("added_tokens") or []
+        self.added = tuple(t["content"] for t in marks)
+        self.reach = max(map(len, self.added), default=1)
+        self.sizes = np.zeros(max([*vocabulary.values(), *(t["id"] for t in marks)]) + 1, np.int64)
+        for text, k in vocabulary.items():
+            self.sizes[k] = len(text)  # one character stands for a byte
+        for t in marks:
+            self.sizes[t["id"]] = len(t["content"].encode())
 
 
 def stable_boundaries(text: str, low: int, high: int, added: tuple[str, ...]) -> np.ndarray:
@@ -108,51 +93,48 @@ def cut(text: Column, chunk: int, overlap: int) -> Column:
     return F.arrow_udf(run, CHUNKS)(text)
 
 
-def count_whole(spark: SparkSession, vocabulary: Vocabulary, text: Column) -> Column:
+def count_whole(packed: Broadcast, text: Column) -> Column:
     """Tokens of each text as the library counts them; null counts as empty."""
-    packed = share(spark, vocabulary)  # a vocabulary file: fixed size
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer = shared(packed).tokenizer()
+        model = shared(packed).model
         for texts in batches:
-            texts, counts = [t or "" for t in texts.to_pylist()], []
-            ends = np.cumsum([len(t) for t in texts])
-            first = 0
-            while first < len(texts):
-                last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BATCH, side="right")), first + 1)
-                counts += [len(e) for e in tokenizer.encode_batch_fast(texts[first:last], add_special_tokens=False)]
-                first = last
-            yield pa.array(counts, pa.int64())
+            counts = [np.diff(model.encode_marked(flat, offsets)[1]) for _, flat, offsets in chunks(texts)]
+            yield pa.array(np.concatenate(counts) if counts else [], pa.int64())
 
     return F.arrow_udf(run, "bigint")(text)
 
 
-def count_chunk(spark: SparkSession, vocabulary: Vocabulary, overlap: int) -> Column:
+def count_chunk(packed: Broadcast, overlap: int) -> Column:
     """Of a chunk (columns start, size, last, text): all its tokens, and the stable boundaries of its overlaps, as
     places in the whole text with the tokens of the chunk before them."""
-    packed = share(spark, vocabulary)
     shape = pa.struct([("tokens", pa.int64()), ("left", BOUNDS), ("right", BOUNDS)])
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         known = shared(packed)
-        tokenizer, reach = known.tokenizer(), known.reach
-        for columns in batches:
+        reach = known.reach
+        for *columns, texts in batches:
+            begins, sizes, lasts = (c.to_pylist() for c in columns)
             out = []
-            for start, size, last, text in zip(*(c.to_pylist() for c in columns), strict=True):
-                encoded = tokenizer.encode(text, add_special_tokens=False)
-                spans = np.array(encoded.offsets, np.int64).reshape(-1, 2)
-
-                def bounds(low, high):
-                    # An added token cut by the chunk's edge would go unseen, so places within its reach are left out.
-                    low, high = max(low, reach), min(high, size - reach)
-                    at = stable_boundaries(text, low, high, known.added) if high > low else np.zeros(0, np.int64)
-                    before = np.searchsorted(spans[:, 1], at, side="right")
-                    whole = (before == len(spans)) | (spans[np.minimum(before, len(spans) - 1), 0] >= at)
-                    return [{"at": start + p, "before": b} for p, b in zip(at[whole].tolist(), before[whole].tolist(), strict=True)]
-
-                left = bounds(0, min(overlap, size)) if start else []
-                right = [] if last else bounds(size - overlap, size)
-                out.append({"tokens": len(spans), "left": left, "right": right})
+            for first, flat, offsets in chunks(texts):
+                ids, stops = known.model.encode_marked(flat, offsets)
+                for k in range(len(offsets) - 1):
+                    data = flat[offsets[k] : offsets[k + 1]]
+                    start, size, last, text = begins[first + k], sizes[first + k], lasts[first + k], data.tobytes().decode()
+                    ends = np.cumsum(known.sizes[ids[stops[k] : stops[k + 1]]])  # byte offsets of the tokens' ends
+                    byte_of = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+
+                    def bounds(low, high):
+                        # An added token cut by the chunk's edge would go unseen, so places within its reach are left out.
+                        low, high = max(low, reach), min(high, size - reach)
+                        at = stable_boundaries(text, low, high, known.added) if high > low else np.zeros(0, np.int64)
+                        before = np.searchsorted(ends, byte_of[at])
+                        split = ends[np.minimum(before, len(ends) - 1)] == byte_of[at]
+                        return [{"at": start + p, "before": b + 1} for p, b in zip(at[split].tolist(), before[split].tolist(), strict=True)]
+
+                    left = bounds(0, min(overlap, size)) if start else []
+                    right = [] if last else bounds(size - overlap, size)
+                    out.append({"tokens": len(ends), "left": left, "right": right})
             yield pa.array(out, shape)
 
     kind = "struct<tokens:bigint,left:array<struct<at:bigint,before:bigint>>,right:array<struct<at:bigint,before:bigint>>>"
@@ -185,17 +167,17 @@ def token_counts(docs: DataFrame, path: str, scratch: Scratch, limit: int = 512,
     """
     spark = docs.sparkSession
     prepare(spark)
-    vocabulary = Vocabulary.read(path)
+    packed = share(spark, Counter(path))  # a vocabulary file: fixed size
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     long = F.length("text") > chunk
     size = F.octet_length("text").cast("long").alias("n_bytes")
-    counted = rows.where(~long).select("doc_id", size, count_whole(spark, vocabulary, F.col("text")).alias("n_tokens"))
+    counted = rows.where(~long).select("doc_id", size, count_whole(packed, F.col("text")).alias("n_tokens"))
 
     # Written once, so that the name a row gets here stays; a text holds its place in later rounds by that name.
     todo = scratch.table(rows.where(long).select(F.expr("uuid()").alias("name"), "doc_id", size, "text"))
     while not todo.isEmpty():
         pieces = todo.select("name", F.explode(cut(F.col("text"), chunk, overlap)).alias("c")).select("name", "c.*")
-        spread = pieces.repartition("name", "part").withColumn("found", count_chunk(spark, vocabulary, overlap))
+        spread = pieces.repartition("name", "part").withColumn("found", count_chunk(packed, overlap))
         done = scratch.table(splice(spread.select("name", "part", "last", "found.*")))
         spliced = done.where("n_tokens is not null")
         counted = counted.unionByName(todo.select("name", "doc_id", "n_bytes").join(spliced, "name").drop("name"))

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tabwright.llm.queries import QUERIES
-from tabwright.llm.token_counts import Vocabulary, stable_boundaries, token_counts
+from tabwright.llm.token_counts import Counter, stable_boundaries, token_counts
 from tabwright.session import Scratch
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,7 +62,7 @@ def test_awkward_rows(spark, docs_of, awkward, library):
 
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError, match="boundaries"):
-        Vocabulary.read(public_tokenizers.path("word_bpe_49k.json"))
+        Counter(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_query(spark, data, library):
