@@ -187,5 +187,46 @@ def repeated(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text"))
 
 
-QUERIES = {"op12_periodic": op12_periodic, "op13_tokens": op13_tokens, "op4_lines": op4_lines, "op7_passages": op7_passages, "op10_quality": op10_quality, "op1_chat": op1_chat, "op8_fingerprints": op8_fingerprints, "op9_minhash": op9_minhash, "op2_secrets": op2_secrets, "op6_language": op6_language, "op3_pieces": op3_pieces, "op5_packing": op5_packing}
-SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op2_secrets": op2_sql()}
+def op11_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tabwright.llm.prefix_trie import digested, trie
+    from tabwright.session import Scratch
+
+    scratch = Scratch(spark)
+    turns = scratch.table(digested(read(spark, folder, "conversations")))
+    ids = scratch.table(turns.select("conv_id").distinct())
+    return trie(ids, exchanged(ids, turns), scratch)
+
+
+def exchanged(ids: DataFrame, turns: DataFrame) -> DataFrame:
+    """Every conversation with its first turns taken from the one whose id is the multiple of five at or before its own."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    wanted = ids.select(F.col("conv_id").alias("own_id"), (F.col("conv_id") - F.col("conv_id") % 5).alias("conv_id"), h.alias("h"))
+    first = turns.where("conv_id % 5 = 0 and pos < 9").join(wanted, "conv_id").where("pos < h")
+    rest = turns.where(F.col("pos") >= h)
+    return rest.unionByName(first.select(F.col("own_id").alias("conv_id"), "pos", "turn_key", "size"))
+
+
+# The checksum is worked out bit by bit: a list holds each byte and then eight times -1 for its shifts.
+OP11_SQL = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 5 base, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: list_concat([unicode((conv_id::VARCHAR)[i])::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 9 h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos < h UNION ALL SELECT conv_id, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos >= h),
+p AS (SELECT conv_id, row_number() OVER w depth, strlen(text) size, string_agg(sha256(length(role) || ':' || role || text), '/') OVER w || '/' path
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT * FROM p UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) ids FROM (SELECT conv_id, arg_max(path, depth) path FROM a GROUP BY conv_id) GROUP BY path),
+n AS (SELECT path, min(conv_id) conv_id, min(depth) depth, count(*) n_convs, min(size) size FROM a GROUP BY path),
+k AS (SELECT left(path, length(path) - 65) path, count(*) n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) n_children FROM n LEFT JOIN k USING (path)),
+s AS (SELECT u.path, count(*) FILTER (v.n_children = 0) n_leaves, sum((v.n_convs - 1) * v.size)::BIGINT saved_tokens FROM m u JOIN m v ON starts_with(v.path, u.path) GROUP BY u.path)
+SELECT m.conv_id, m.depth, q.conv_id parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN n q ON m.depth > 0 AND q.path = left(m.path, length(m.path) - 65)
+"""
+
+
+QUERIES = {"op11_trie": op11_trie, "op12_periodic": op12_periodic, "op13_tokens": op13_tokens, "op4_lines": op4_lines, "op7_passages": op7_passages, "op10_quality": op10_quality, "op1_chat": op1_chat, "op8_fingerprints": op8_fingerprints, "op9_minhash": op9_minhash, "op2_secrets": op2_secrets, "op6_language": op6_language, "op3_pieces": op3_pieces, "op5_packing": op5_packing}
+SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op2_secrets": op2_sql(), "op11_trie": OP11_SQL}
