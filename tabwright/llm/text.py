@@ -6,6 +6,7 @@ when a single text is.
 
 import pickle
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ BATCH_BYTES = 8 << 20
 # Odd multipliers of the polynomial and of the finalising mix.
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX_1, MIX_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+POLYNOMIAL_UP_TO = 32  # values of a span
 # The separators of a word are space and the code points 9 to 13.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -95,13 +97,23 @@ def powers(n: int, base: int) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """64-bit hash of each span of `values`, by its contents and length alone."""
+    """64-bit hash of each span of `values`, by its contents and length alone.
+
+    A polynomial modulo 2^64 tells short spans apart; in long ones words of two symbols with a regular structure cancel
+    out under any base, so those are digested.
+    """
     n = len(values)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(n, base), out=prefix[1:])
     back = powers(n + 1, pow(base, -1, 1 << 64))
     h = (prefix[ends] - prefix[starts]) * back[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(MIX_2))
+    h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(MIX_2))
+    long = np.flatnonzero(ends - starts > POLYNOMIAL_UP_TO)
+    if len(long):
+        data, width, key = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize, base.to_bytes(8, "little")
+        spans = zip((starts[long] * width).tolist(), (ends[long] * width).tolist(), strict=True)
+        h[long] = np.frombuffer(b"".join([blake2b(data[a:b], digest_size=8, key=key).digest() for a, b in spans]), np.uint64)
+    return h
 
 
 def window_hashes(values: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
