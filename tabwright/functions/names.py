@@ -17,6 +17,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def literal(text: str) -> str:
+    """A text as a literal of an SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def q(name: str) -> Column:
     """Column by its exact name, dots and all."""
     return F.col(quoted(name))

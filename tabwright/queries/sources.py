@@ -52,19 +52,37 @@ register(
     ),
 )
 
-_BROKEN = "CASE WHEN o_orderkey % 97 = 5 THEN o_orderkey || ',' || o_orderstatus WHEN o_orderkey % 97 = 6 THEN o_orderkey || ',x,y,z' ELSE o_orderkey || ',' || o_orderstatus || ',' || o_custkey END"
+def _csv_spanning(spark, folder):
+    """Texts with line breaks, as quoted cells of a source that is cut into blocks all the same."""
+    docs = read(spark, folder, "documents").select("doc_id", "lang", "text")
+    path = _written(spark, docs, ".csv", lambda w, p: w.options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(p))
+    table = load(configure(spark), path, LoadOptions(delimiter=","))
+    return table.df.select(q("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+register(
+    "csv_spanning_scan",
+    _csv_spanning,
+    "SELECT doc_id, lang, length(nullif(text, '')) AS chars, md5(nullif(text, '')) AS text_md5 FROM documents",
+)
+
+_KIND = "CASE WHEN o_orderkey % 97 = 5 THEN 'short' WHEN o_orderkey % 97 = 6 THEN 'long' WHEN o_orderkey % 97 = 7 THEN 'quote' WHEN o_orderkey % 97 = 8 THEN 'breaks' END"
+_BROKEN = "CASE {kind} WHEN 'short' THEN o_orderkey || ',' || o_orderstatus WHEN 'long' THEN o_orderkey || ',x,y,z' WHEN 'quote' THEN o_orderkey || ',\"' || o_orderstatus || '\"x,y' END".format(kind=_KIND)
+_REASON = "CASE {kind} WHEN 'quote' THEN 'text follows a closing quote' ELSE 'another number of cells than the header' END".format(kind=_KIND)
 
 
 def _broken(spark, folder):
-    lines = read(spark, folder, "orders").select(F.expr(_BROKEN).alias("value"))
+    """Records of the wrong width, and with text after a quote, among others some of which span lines."""
+    fine = F.concat_ws(",", "o_orderkey", "o_orderstatus", F.when(F.expr(_KIND) == "breaks", F.lit('"a\nb"')).otherwise(F.lit("c")))
+    rows = read(spark, folder, "orders").select(F.coalesce(F.expr(_BROKEN), fine).alias("record"))
     # Every part of a CSV folder starts with the header.
     first_of_part = F.monotonically_increasing_id() % (1 << 33) == 0
-    headed = lines.select(F.when(first_of_part, F.concat(F.lit("key,status,cust\n"), "value")).otherwise(F.col("value")))
+    headed = rows.select(F.when(first_of_part, F.concat(F.lit("key,status,more\n"), "record")).otherwise(F.col("record")))
     path = _written(spark, headed, ".csv", lambda w, p: w.text(p))
-    return bad_records(spark, path, LoadOptions(delimiter=","))
+    return bad_records(spark, path, LoadOptions(delimiter=",")).select("record", "reason")
 
 
-register("csv_bad_rows", _broken, f"SELECT {_BROKEN} AS record FROM orders WHERE o_orderkey % 97 IN (5, 6)")
+register("csv_bad_rows", _broken, f"SELECT {_BROKEN} AS record, {_REASON} AS reason FROM orders WHERE o_orderkey % 97 IN (5, 6, 7)")
 
 
 def _jsonl_scan(spark, folder):

@@ -30,7 +30,7 @@ def candidates(df: DataFrame) -> list[str]:
 
 def readings(df: DataFrame, names: Sequence[str], decimal: str = ".") -> DataFrame:
     """The table plus each candidate's bare text, made once for all the questions asked about it."""
-    return df.select("*", *[numbers.number_text(q(name), decimal).alias(f"__text{i}") for i, name in enumerate(names)])
+    return df.select("*", *[numbers.number_text(q(name), decimal).alias(f"__text{i}") for i, name in enumerate(names)]) if names else df
 
 
 def inference_measures(names: Sequence[str]) -> list[Column]:
@@ -54,12 +54,7 @@ def apply_inference(df: DataFrame, names: Sequence[str], row, decimal: str = "."
         valid = row[f"valid{i}"]
         if valid and row[f"parses{i}"] == valid and not row[f"padded{i}"]:
             target[name] = "bigint" if row[f"whole{i}"] == valid else "double"
-    return df.select(
-        *[
-            numbers.number_text(q(name), decimal).try_cast(target[name]).alias(name) if name in target else q(name)
-            for name in df.columns
-        ]
-    )
+    return df.withColumns({name: numbers.number_text(q(name), decimal).try_cast(kind) for name, kind in target.items()}) if target else df
 
 
 def infer_numbers(df: DataFrame, decimal: str = ".") -> DataFrame:

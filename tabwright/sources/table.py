@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.errors import TableError
 from tabwright.functions.names import ROW_ID, data_columns, q
 from tabwright.functions.numbers import null_for_nan
 from tabwright.session import Scratch
+from tabwright.sources.places import PLACE, place_lines, place_rows
 
 
 @dataclass
@@ -45,42 +45,14 @@ def identified(df: DataFrame, row_id: str | None = None) -> DataFrame:
     )
 
 
-def _one_slash(path: Column) -> Column:
-    """Listings and scans write the slashes after a scheme differently."""
-    return F.regexp_replace(path, "^([A-Za-z0-9.+-]+):/+", "$1:/")
+def placed(scan: DataFrame, row_index: bool, path: str) -> DataFrame:
+    """A file scan with the identity of every row: files by name, then by place in the file; see ``places``.
 
-
-FILE_BITS, BLOCK_BITS, INDEX_BITS = 18, 15, 30
-
-
-def placed(scan: DataFrame, row_index: bool) -> DataFrame:
-    """A file scan with the identity of every row: files by name, then by place in the file.
-
-    ``row_index`` is for formats that know a row's number in its file; then the identity does not depend on
-    how files are cut or packed. Text formats have the block and the position in the task: ordered the same
-    way, and fixed once the loaded table is written.
+    ``row_index`` is for formats that know a row's number in its file. Text formats have the block and the position
+    in the task: ordered the same way, and fixed once the loaded table is written.
     """
-    session = scan.sparkSession
-    files = sorted(scan.inputFiles())
-    if len(files) >= 1 << FILE_BITS:
-        raise TableError(f"more than {1 << FILE_BITS} files; give row_id")
-    # One row per file, as in the listing that the driver holds anyway.
-    numbers = session.createDataFrame([(name, k) for k, name in enumerate(files)], "name string, __number long")
-    numbers = F.broadcast(numbers.select(_one_slash(F.col("name")).alias("__file"), "__number"))
-    conf = session._jsparkSession.sessionState().conf()
-    unit = min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())  # no block is smaller
-    if row_index:
-        inside = F.col("_metadata.row_index")
-    else:
-        block = F.floor(F.col("_metadata.file_block_start") / unit)
-        block = F.when(block < 1 << BLOCK_BITS, block).otherwise(F.raise_error(F.lit("a file has too many blocks; give row_id")))
-        index = F.monotonically_increasing_id() % (1 << 33)
-        inside = block * (1 << INDEX_BITS) + F.when(index < 1 << INDEX_BITS, index).otherwise(F.raise_error(F.lit("a task has too many rows; give row_id")))
-    rows = scan.select(*[q(name) for name in scan.columns], _one_slash(F.col("_metadata.file_path")).alias("__path"), inside.alias("__inside"))
-    joined = rows.join(numbers, F.col("__path") == F.col("__file"), "left")
-    number = F.coalesce("__number", F.raise_error(F.lit("a row of a file that is not listed")).cast("long"))
-    identity = number * (1 << (BLOCK_BITS + INDEX_BITS)) + F.col("__inside")
-    return joined.select(identity.cast("long").alias(ROW_ID), *[null_for_nan(q(f.name), f.dataType).alias(f.name) for f in scan.schema.fields])
+    found, _ = place_rows(scan) if row_index else place_lines(scan, path)
+    return found.select(q(PLACE).alias(ROW_ID), *[null_for_nan(q(f.name), f.dataType).alias(f.name) for f in scan.schema.fields])
 
 
 def as_table(df: DataFrame, row_id: str | None = None, name: str = "table") -> Table:
