@@ -15,7 +15,7 @@ from tabwright.llm.text import chunks, code_points, mix, prepare, share, shared
 DIMENSIONS = 1 << 13
 GRAMS = (2, 3)
 SAMPLE_PER_LANGUAGE = 600  # documented bound of the labelled rows that the centroids are fitted on
-LANGUAGES = 512  # so many languages at most, the most frequent, have a sample; it bounds the fitted rows
+ROWS = 256  # count vectors held at once
 CENTROIDS = 4
 ROUNDS = 12
 REJECT_SHARE = 0.25  # a text is rejected below this share of the median cosine that texts of its language have,
@@ -35,38 +35,40 @@ def letter_tables() -> np.ndarray:
     return out
 
 
-def gram_counts(points: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed n-gram counts of each text, and whether it has a letter. Runs of other characters are one gap."""
-    letters = table[points]
-    n = len(letters)
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    keep = np.ones(n, bool)
-    if n > 1:
-        keep[1:] = (letters[1:] > 0) | (letters[:-1] > 0) | edge[1:n]
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[keep]
-    letters = letters[keep].astype(np.uint64)
-    ends = np.searchsorted(text, np.arange(len(offsets)))
-    has = np.bincount(text[letters > 0], minlength=len(offsets) - 1) > 0
-    slots, valid = [], []
-    for width in GRAMS:
-        if len(letters) < width:
-            continue
-        m = len(letters) - width + 1
-        code = np.zeros(m, np.uint64)
-        for k in range(width):
-            code = code * np.uint64(LOWER) + letters[k : k + m]
-        slots.append((mix(code + np.uint64(width)) >> np.uint64(51)).astype(np.int64))
-        valid.append(width)
-    counts = []
-    for i in range(len(offsets) - 1):
-        row = np.zeros(DIMENSIONS, np.float32)
-        for slot, width in zip(slots, valid, strict=True):
-            a, b = ends[i], ends[i + 1] - width + 1
-            if b > a:
-                row += np.bincount(slot[a:b], minlength=DIMENSIONS)
-        counts.append(row)
-    return counts, has
+class Grams:
+    """Hashed n-gram counts of texts, and `has`: which have a letter. Runs of other characters are one gap."""
+
+    def __init__(self, points: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+        letters = table[points]
+        n = len(letters)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        keep = np.ones(n, bool)
+        if n > 1:
+            keep[1:] = (letters[1:] > 0) | (letters[:-1] > 0) | edge[1:n]
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[keep]
+        letters = letters[keep].astype(np.uint64)
+        self.ends = np.searchsorted(text, np.arange(len(offsets)))
+        self.has = np.bincount(text[letters > 0], minlength=len(offsets) - 1) > 0
+        self.slots = []
+        for width in GRAMS:
+            m = len(letters) - width + 1
+            if m < 1:
+                continue
+            code = np.zeros(m, np.uint64)
+            for k in range(width):
+                code = code * np.uint64(LOWER) + letters[k : k + m]
+            self.slots.append((width, (mix(code + np.uint64(width)) >> np.uint64(51)).astype(np.int64)))
+
+    def counts(self, first: int, last: int) -> np.ndarray:
+        """A row of counts for each text of a range; few at a time, since a row has all slots."""
+        out = np.zeros((last - first, DIMENSIONS), np.float32)
+        for i in range(first, last):
+            for width, slot in self.slots:
+                a, b = self.ends[i], self.ends[i + 1] - width + 1
+                if b > a:
+                    out[i - first] += np.bincount(slot[a:b], minlength=DIMENSIONS)
+        return out
 
 
 @dataclass
@@ -111,12 +113,10 @@ def sample(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Data
     Rows with null labels, or texts that are null, are no examples.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    share = F.lit(0.0)
-    for row in counted:
-        share = F.when(F.col("lang") == row["lang"], per_language / row["n"]).otherwise(share)
+    shares = rows.groupBy("lang").agg((per_language / F.count(F.lit(1))).alias("share"))
     place = F.pmod(F.xxhash64("doc_id", "lang", F.lit(6)), F.lit(1 << 40)) / float(1 << 40)
-    return rows.where(place < share)
+    # A number per language, of which the model has whole vectors; languages are not limited otherwise.
+    return rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("doc_id", "lang", "text")
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> LanguageModel:
@@ -126,9 +126,11 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for first, flat, offsets in chunks(pa.array(frame["text"], pa.large_string())):
-                rows, has = gram_counts(*code_points(flat, offsets), table)
-                keep = [i for i in range(len(rows)) if has[i]]
-                packed = [np.packbits(rows[i] > 0).tobytes() + np.log1p(rows[i][rows[i] > 0]).astype("<f2").tobytes() for i in keep]
+                grams = Grams(*code_points(flat, offsets), table)
+                keep, packed = np.flatnonzero(grams.has).tolist(), []
+                for i in keep:
+                    row = grams.counts(i, i + 1)[0]
+                    packed.append(np.packbits(row > 0).tobytes() + np.log1p(row[row > 0]).astype("<f2").tobytes())
                 langs = [frame["lang"].iloc[first + i] for i in keep]
                 yield pd.DataFrame({"lang": langs, "packed": packed, "name": [hashlib.sha1(p).hexdigest() for p in packed]})
 
@@ -136,17 +138,22 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids:
     found = found.sort_values(["lang", "name"], ignore_index=True)
     if not len(found):
         return LanguageModel([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    counts = np.zeros((len(found), DIMENSIONS), np.float32)
-    for i, packed in enumerate(found["packed"]):
-        present = np.unpackbits(np.frombuffer(packed[: DIMENSIONS // 8], np.uint8)).astype(bool)
-        counts[i, present] = np.expm1(np.frombuffer(packed[DIMENSIONS // 8 :], "<f2").astype(np.float32))
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    bits = DIMENSIONS // 8
+    documents = np.zeros(DIMENSIONS, np.int64)
+    for packed in found["packed"]:
+        documents += np.unpackbits(np.frombuffer(packed[:bits], np.uint8))
+    idf = (np.log((1 + len(found)) / (1 + documents)) + 1).astype(np.float32)
     labels = sorted(found["lang"].unique())
     model = LanguageModel(labels, idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(len(labels)))
-    vectors = model.vectors(counts)
     rows, owner = [], []
-    for i, label in enumerate(labels):
-        own = vectors[(found["lang"] == label).to_numpy()]
+    for i, (_, some) in enumerate(found.groupby("lang", sort=True)):
+        # The vectors of one language at a time: about per_language rows, however many languages there are.
+        own = np.zeros((len(some), DIMENSIONS), np.float32)
+        for k, packed in enumerate(some["packed"]):
+            present = np.unpackbits(np.frombuffer(packed[:bits], np.uint8)).astype(bool)
+            own[k, present] = np.frombuffer(packed[bits:], "<f2")
+        own *= idf
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
         centers = clustered(own, centroids)
         rows.append(centers)
         owner += [i] * len(centers)
@@ -170,11 +177,12 @@ def predict(spark: SparkSession, model: LanguageModel, text: Column, reject_shar
         for texts in batches:
             labels, scores, rejected = [], [], []
             for _, flat, offsets in chunks(texts):
-                rows, has = gram_counts(*code_points(flat, offsets), table)
-                for at in range(0, len(rows), 256):
-                    some = has[at : at + 256] & bool(model.labels)
-                    label, score = model.predict(np.array(rows[at : at + 256])) if model.labels else (np.zeros(len(some), int), np.zeros(len(some)))
-                    full = np.minimum(1, (np.array(rows[at : at + 256]) > 0).sum(axis=1) / FULL_GRAMS)
+                grams = Grams(*code_points(flat, offsets), table)
+                for at in range(0, len(grams.has), ROWS):
+                    some = grams.has[at : at + ROWS] & bool(model.labels)
+                    counts = grams.counts(at, at + len(some))
+                    label, score = model.predict(counts) if model.labels else (np.zeros(len(some), int), np.zeros(len(some)))
+                    full = np.minimum(1, (counts > 0).sum(axis=1) / FULL_GRAMS)
                     near = score >= reject_share * full * (model.usual[label] if model.labels else 1)
                     labels += [model.labels[x] if ok else UNKNOWN for x, ok in zip(label, some, strict=True)]
                     scores += np.where(some, score, 0).tolist()
