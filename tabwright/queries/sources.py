@@ -105,6 +105,36 @@ register(
 )
 
 
+_INFO = """CASE event_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN concat('{"kind":{},"id":', user_id, '}')
+    WHEN 2 THEN concat('{"id":', user_id, ',"kind":{"name":"', event_type, '"},"seen":[{"z":null,"by":', user_id, '},{}]}') ELSE 'null' END"""
+
+
+def _jsonl_lossless(spark, folder):
+    """Objects that are empty in some records, nulls inside arrays, and columns that no schema names beforehand."""
+    lines = read(spark, folder, "events").select(F.expr(f"""concat('{{"event_id":', event_id, ',"info":', {_INFO}, '}}')""").alias("value"))
+    table = load(configure(spark), _written(spark, lines, ".jsonl", lambda w, p: w.text(p)))
+    return table.df.select(*[q(n).alias(n.replace(".", "_")) for n in table.columns])
+
+
+register(
+    "jsonl_lossless",
+    _jsonl_lossless,
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{}' END AS info, CASE WHEN event_id % 4 IN (1, 2) THEN user_id END AS info_id,
+    CASE WHEN event_id % 4 = 1 THEN '{}' END AS info_kind, CASE WHEN event_id % 4 = 2 THEN event_type END AS info_kind_name,
+    CASE WHEN event_id % 4 = 2 THEN '[{"by":' || user_id || ',"z":null},{}]' END AS info_seen FROM events""",
+)
+
+_TORN = "CASE WHEN event_id % 89 = 3 THEN concat('[', event_id, ']') WHEN event_id % 89 = 4 THEN concat('{\"event_id\":', event_id) END"
+
+
+def _jsonl_bad(spark, folder):
+    lines = read(spark, folder, "events").select(F.expr(f"coalesce({_TORN}, concat('{{\"event_id\":', event_id, '}}'))").alias("value"))
+    return bad_records(spark, _written(spark, lines, ".jsonl", lambda w, p: w.text(p))).select("record", "reason")
+
+
+register("jsonl_bad_rows", _jsonl_bad, f"SELECT {_TORN} AS record, 'not a JSON object' AS reason FROM events WHERE event_id % 89 IN (3, 4)")
+
+
 def _json_path_scan(spark, folder):
     orders = read(spark, folder, "orders")
     # Documents of at most 500 records, since keys are unique; one document per line keeps the file splittable.

@@ -16,7 +16,7 @@ from tabwright.functions.names import ROW_ID, data_columns, literal, q, quoted
 from tabwright.session import Scratch, configure
 from tabwright.sources import infer
 from tabwright.sources.csv import BLANK, CELLS, HEADER, OPEN, REASON, RECORD, assembled, bad_csv_rows, numbered, parsed, read_dialect, records, source_lines
-from tabwright.sources.json import bad_json_lines, cell, read_json_documents, read_json_lines
+from tabwright.sources.json import NO_OBJECT, VALUE, all_lines, bad_json_lines, cell, flatten_variants, json_lines, read_json_documents
 from tabwright.sources.options import LoadOptions, format_of, suffix_of
 from tabwright.sources.places import PLACE
 from tabwright.sources.table import Table, identified, placed
@@ -27,10 +27,8 @@ def scan(spark: SparkSession, path: str, options: LoadOptions | None = None) ->
     options = options or LoadOptions()
     configure(spark)
     kind = format_of(path)
-    if kind == "csv":
+    if kind in ("csv", "jsonl"):
         return load(spark, path, replace(options, missing_tokens=[], infer_numeric=False)).df.drop(ROW_ID)
-    if kind == "jsonl":
-        return read_json_lines(spark, path, options)
     if kind == "json":
         return read_json_documents(spark, path, options)
     frame = spark.read.parquet(path)
@@ -51,6 +49,8 @@ def load(
     try:
         if format_of(path) == "csv":
             frame, rows = _load_csv(spark, path, options, row_id, scratch)
+        elif format_of(path) == "jsonl":
+            frame, rows = _load_json_lines(spark, path, options, row_id, scratch)
         else:
             frame, rows = _load_records(spark, path, options, row_id, scratch)
         size = source_bytes(spark, path)
@@ -74,6 +74,27 @@ def _load_records(spark: SparkSession, path: str, options: LoadOptions, row_id:
     check_columns(raw.columns, options.max_columns)
     if row_id is None and not (format_of(path) == "json" and options.json_path):
         raw = placed(raw, format_of(path) == "parquet", path)
+    return _inferred(raw, path, options, row_id, scratch)
+
+
+def _load_json_lines(spark: SparkSession, path: str, options: LoadOptions, row_id: str | None, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The text is parsed once, into variants; what all of them hold is observed on the way and gives the columns."""
+    rows, places = json_lines(spark, path, options)
+    bad, seen = F.col(VALUE).isNull(), Observation()
+    kept = rows.withColumn(RECORD, F.when(bad, F.col(RECORD)))
+    copy = scratch.table(kept.observe(seen, F.schema_of_variant_agg(VALUE).alias("shape"), F.count_if(bad).alias("bad"), F.count_if(~bad).alias("rows")))
+    if seen.get["bad"]:
+        _refuse(copy.withColumn(REASON, F.lit(NO_OBJECT)), all_lines(spark, path), places, bad, 0)
+    if not seen.get["rows"]:
+        raise TableError("the source has no records")
+    raw = flatten_variants(copy, seen.get["shape"])
+    check_columns([name for name in raw.columns if name != PLACE], options.max_columns)
+    found = _inferred(raw.withColumnRenamed(PLACE, ROW_ID) if row_id is None else raw.drop(PLACE), path, options, row_id, scratch)
+    scratch.drop(copy)
+    return found
+
+
+def _inferred(raw: DataFrame, path: str, options: LoadOptions, row_id: str | None, scratch: Scratch) -> tuple[DataFrame, int]:
     frame = infer.mark_missing(raw, options.missing_tokens)
     names = infer.candidates(frame) if options.infer_numeric else []
     row = infer.readings(frame, names, options.decimal).agg(F.count("*").alias("rows"), *infer.inference_measures(names)).first()
@@ -123,7 +144,7 @@ def _load_csv(spark: SparkSession, path: str, options: LoadOptions, row_id: str
     heads = filled.agg(F.min(PLACE).alias("first"), F.min(F.when(reason == HEADER, q(PLACE))).alias("head"), F.count_if(reason == HEADER).alias("n"))
     found = heads.agg(F.count_if(F.col("head").isNull() | (F.col("head") != F.col("first"))).alias("headless"), F.max("n").alias("most")).first()
     if found["headless"] or row["bad"]:
-        _refuse(copy, lines, places, bad, found["headless"])
+        _refuse(copy, records(lines), places, bad, found["headless"])
     if found["most"] > 1:
         # Records that read like the header further down are records: cells and measures are taken again.
         first = heads.select(F.col("head").alias(PLACE), F.lit(True).alias("__first"))
@@ -147,7 +168,7 @@ def _load_csv(spark: SparkSession, path: str, options: LoadOptions, row_id: str
 
 def _refuse(copy: DataFrame, lines: DataFrame, places, bad, headless: int) -> None:
     """Name the first record that does not fit, by file and line."""
-    first = numbered(copy.where(bad).orderBy(PLACE).limit(1), records(lines), places)
+    first = numbered(copy.where(bad).orderBy(PLACE).limit(1), lines, places)
     row = first.join(places.names, F.shiftright(PLACE, places.file_shift) == F.col("number")).first()
     if row is not None:
         raise TableError(f"{row['file']}, line {row['line']}: {row[REASON]}: {row[RECORD][:200]}")
