@@ -21,8 +21,7 @@ from tabwright.session import Scratch
 
 MIN_PAIRS = 3
 RANK_BUCKET_ROWS = 200_000
-RANK_BUCKETS = 2_048
-HOT_SHARE = 1_000
+HOT_VALUES = 50_000
 SCHEMA = "x string, y string, r double, n bigint"
 
 
@@ -181,53 +180,40 @@ def _missing_patterns(df: DataFrame, names: Sequence[str]) -> dict[str, str | No
 
 
 def with_ranks(df: DataFrame, labels: Sequence[str], scratch: Scratch, bucket_rows: int = RANK_BUCKET_ROWS) -> DataFrame:
-    """Add ``r<label>``: the average rank of each value among the non-null values of its column.
+    """Row identity and ``r<label>``: the average rank of each value among the non-null values of its column.
 
-    Ranks come from the frequency table of distinct values: it is cut into value ranges of bounded
-    size, ranked inside each range, and shifted by the number of rows in the ranges below.
+    All columns take the same way, whatever their number: one row per value looks its rank up, and the ranks of a
+    row come together again by its identity. Rows without any value are left out.
     """
     ranks = scratch.table(average_ranks(df, labels, scratch, bucket_rows))
-    sizes = {
-        row["column"]: row for row in ranks.groupBy("column").agg(F.count("*").alias("values"), F.sum("n").alias("rows")).collect()
-    }
-    for label in labels:
-        if label not in sizes:
-            df = df.select("*", F.lit(None).cast("double").alias("r" + label))
-            continue
-        table = ranks.filter(F.col("column") == label).select(F.col("value").alias("key"), F.col("rank").alias("payload"), "n")
-        frequent = table.filter(F.col("n") * HOT_SHARE >= F.lit(sizes[label]["rows"]))
-        df = attach(df, F.col(label), table, sizes[label]["values"], "r" + label, q(ROW_ID), frequent)
-    return df
+    size = ranks.agg(F.count("*").alias("values"), F.sum("n").alias("rows")).first()
+    table = ranks.select(F.struct("column", "value").alias("key"), F.col("rank").alias("payload"), "n")
+    # So many values at most can be as frequent as that.
+    frequent = table.filter(F.col("n") * HOT_VALUES >= F.lit(size["rows"]))
+    found = attach(_long(df, labels, q(ROW_ID)), F.struct("column", "value"), table, size["values"], "rank", q(ROW_ID), frequent)
+    return found.groupBy(q(ROW_ID)).agg(*[F.max(F.when(F.col("column") == k, F.col("rank"))).alias("r" + label) for k, label in enumerate(labels)])
+
+
+def _long(df: DataFrame, labels: Sequence[str], *keep: Column) -> DataFrame:
+    """``column`` (its number) and ``value`` of every cell that has one."""
+    pieces = [piece for k, label in enumerate(labels) for piece in (F.lit(k), q(label))]
+    return df.select(*keep, F.stack(F.lit(len(labels)), *pieces).alias("column", "value")).filter("value IS NOT NULL")
 
 
 def average_ranks(df: DataFrame, labels: Sequence[str], scratch: Scratch, bucket_rows: int = RANK_BUCKET_ROWS) -> DataFrame:
-    """``column, value, n, rank`` per distinct value."""
-    pieces = [piece for label in labels for piece in (F.lit(label), F.col(label))]
-    long = df.select(F.stack(F.lit(len(labels)), *pieces).alias("column", "value")).filter("value IS NOT NULL")
-    counts = scratch.table(long.groupBy("column", "value").agg(F.count("*").alias("n")))
-    distinct = {row["column"]: row["count"] for row in counts.groupBy("column").count().collect()}
-    buckets = min(max((math.ceil(count / bucket_rows) for count in distinct.values()), default=1), RANK_BUCKETS)
-    bucketed, below = counts.withColumn("bucket", F.lit(0)), F.lit(0)
-    if buckets > 1:
-        grid = [k / buckets for k in range(1, buckets)]
-        edges = {
-            row["column"]: sorted(set(row["edges"]))
-            for row in counts.groupBy("column").agg(F.percentile_approx("value", grid).alias("edges")).collect()
-        }
-        edge_map = F.create_map(*[p for label, e in edges.items() for p in (F.lit(label), F.array(*[F.lit(v) for v in e]))])
-        passed = F.filter(edge_map[F.col("column")], lambda edge: edge < F.col("value"))
-        bucketed = counts.withColumn("bucket", F.size(passed))
-        totals = {}
-        for row in bucketed.groupBy("column", "bucket").agg(F.sum("n").alias("n")).collect():
-            totals.setdefault(row["column"], {})[row["bucket"]] = row["n"]
-        offsets = {}
-        for label, sizes in totals.items():
-            running = [0]
-            for k in range(max(sizes)):
-                running.append(running[-1] + sizes.get(k, 0))
-            offsets[label] = running
-        offset_map = F.create_map(*[p for label, o in offsets.items() for p in (F.lit(label), F.array(*[F.lit(v) for v in o]))])
-        below = F.element_at(offset_map[F.col("column")], F.col("bucket") + 1)
-    order = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = below + F.sum("n").over(order)
-    return bucketed.select("column", "value", "n", (reached - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+    """``column`` (its number), ``value, n, rank`` per distinct value.
+
+    The frequencies of all columns are cut into ranges of about ``bucket_rows`` by (column, value) and written; ranks run
+    inside a range and go on from the rows of its column in the ranges before, which are summed from one row per range and column.
+    """
+    counts = scratch.table(_long(df, labels).groupBy("column", "value").agg(F.count("*").alias("n")))
+    parts = max(math.ceil(counts.count() / bucket_rows), 1)
+    ranged = scratch.table(counts.repartitionByRange(parts, "column", "value").withColumn("part", F.spark_partition_id()))
+    totals = ranged.groupBy("column", "part").agg(F.sum("n").alias("rows"))
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("column", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("below"))
+    order = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Ranges follow one another, so these are at most as many rows as ranges and columns together.
+    reached = F.col("below") + F.sum("n").over(order)
+    known = ranged.join(F.broadcast(totals), ["column", "part"])
+    return known.select("column", "value", "n", (reached - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
