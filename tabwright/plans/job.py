@@ -11,7 +11,7 @@ from tabwright.plans.ml_prep import MLConfig, export_ml, prepare_ml
 from tabwright.plans.pipeline import check_config, run_pipeline
 from tabwright.plans.report import report
 from tabwright.session import configure
-from tabwright.sinks.writers import guard_output, schema_table, write_json, write_table
+from tabwright.sinks.writers import guard_output, published, schema_table, write_json, write_table
 from tabwright.sources.load import LoadOptions, load
 
 
@@ -40,22 +40,25 @@ def run_job(
     if pipeline is not None and ml_config is not None:
         raise TableError("give a pipeline or a learning configuration, not both")
     guard_output(spark, source, output, overwrite)
+    with published(spark, output) as target:
+        rows, kept = _write_all(spark, source, target, pipeline, ml_config, options, row_id, fmt, with_report)
+    return JobOutcome(rows, kept, output)
+
+
+def _write_all(spark, source, output, pipeline, ml_config, options, row_id, fmt, with_report) -> tuple[int, int]:
+    """Rows read and rows kept; every result is in `output` when this returns."""
     table = load(spark, source, options, row_id)
     rows = table.metadata["rows"]
     if ml_config is not None:
         prepared = prepare_ml(table, ml_config)
-        if overwrite:
-            _clear(spark, output)
         manifest = export_ml(prepared, output, spark)
         write_json(spark, table.metadata, f"{output}/source_metadata")
         prepared.scratch.close()
         table.close()
-        return JobOutcome(rows, sum(manifest["split_rows"].values()), output)
+        return rows, sum(manifest["split_rows"].values())
     config = check_config(pipeline or {"version": 1, "roles": {}, "steps": []})
     result = run_pipeline(table, config)
     log = result.log
-    if overwrite:
-        _clear(spark, output)
     write_table(result.df, f"{output}/cleaned_data", fmt)
     write_json(spark, config, f"{output}/pipeline")
     write_json(spark, log, f"{output}/processing_log")
@@ -70,10 +73,4 @@ def run_job(
                 write_table(chart, f"{output}/report/{phase}/{name}")
     result.scratch.close()
     table.close()
-    return JobOutcome(rows, log[-1]["rows_after"] if log else rows, output)
-
-
-def _clear(spark: SparkSession, output: str) -> None:
-    """Earlier results go only once the new ones are known to be computable."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(output)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return rows, log[-1]["rows_after"] if log else rows

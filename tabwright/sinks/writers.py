@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +55,28 @@ def guard_output(spark: SparkSession, source: str, output: str, overwrite: bool)
         raise TableError("the output would overwrite the source or mix with it")
     if not overwrite and exists(spark, output):
         raise TableError("the output already exists")
+
+
+@contextmanager
+def published(spark: SparkSession, output: str) -> Iterator[str]:
+    """A folder beside `output` to write to, which takes its place once everything in it is written.
+
+    An earlier result stays whole and in place until then, and for good if anything fails; readers never meet half of
+    either. Where a store cannot rename folders at once, the two renames take as long as it needs.
+    """
+    staging, earlier = (f"{output.rstrip('/')}.{kind}-{uuid.uuid4().hex[:8]}" for kind in ("new", "old"))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(output).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        yield staging
+        replaced = files.exists(path(output))
+        if replaced and not files.rename(path(output), path(earlier)):
+            raise TableError(f"cannot replace {output}")
+        if not files.rename(path(staging), path(output)):
+            if replaced:
+                files.rename(path(earlier), path(output))
+            raise TableError(f"cannot publish {output}")
+        if replaced:
+            files.delete(path(earlier), True)
+    finally:
+        files.delete(path(staging), True)

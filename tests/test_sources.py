@@ -174,6 +174,23 @@ def test_job_writes_what_it_says(spark, write, tmp_path):
             run_job(spark, path, inside, overwrite=True)
 
 
+def test_a_failing_job_leaves_the_earlier_result(spark, write, tmp_path, monkeypatch):
+    path, out = write("in/p.csv", CATALOGUE), tmp_path / "out"
+    run_job(spark, path, str(out), pipeline={"steps": CARE}, with_report=False)
+    before = sorted(p.relative_to(out) for p in out.rglob("*"))
+
+    def broken(*_):
+        raise TableError("no report today")
+
+    monkeypatch.setattr("tabwright.plans.job.report", broken)
+    with pytest.raises(TableError, match="today"):
+        run_job(spark, path, str(out), overwrite=True)
+    assert sorted(p.relative_to(out) for p in out.rglob("*")) == before
+    with pytest.raises(TableError, match="today"):
+        run_job(spark, path, str(tmp_path / "other"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["in", "out"]
+
+
 def test_job_for_learning(spark, write, tmp_path):
     path, out = write("p.csv", CATALOGUE), str(tmp_path / "learned")
     config = MLConfig("light", ["height"], task="classification", numeric_errors="coerce", stratify=False)
