@@ -45,15 +45,17 @@ def load(
     """
     options = options or LoadOptions()
     configure(spark)
-    scratch = scratch or Scratch(spark)
+    scratch, kind = scratch or Scratch(spark), format_of(path)
     try:
-        if format_of(path) == "csv":
+        size = source_bytes(spark, path)
+        if options.max_bytes is not None and size > options.max_bytes:
+            raise TableError(f"more than {options.max_bytes} bytes")
+        if kind == "csv":
             frame, rows = _load_csv(spark, path, options, row_id, scratch)
-        elif format_of(path) == "jsonl":
+        elif kind == "jsonl":
             frame, rows = _load_json_lines(spark, path, options, row_id, scratch)
         else:
             frame, rows = _load_records(spark, path, options, row_id, scratch)
-        size = source_bytes(spark, path)
     except (PySparkException, Py4JJavaError) as error:
         cause = error.java_exception.getMessage() if isinstance(error, Py4JJavaError) else str(error)
         raise TableError(f"cannot read {path}: {cause.splitlines()[0]}") from error

@@ -25,6 +25,7 @@ class LoadOptions:
     multi_line: bool | None = None
     max_rows: int | None = None
     max_columns: int | None = None
+    max_bytes: int | None = None
 
     def __post_init__(self):
         if self.decimal not in (".", ","):

@@ -111,7 +111,8 @@ def test_encodings(spark, write):
 def test_limits(spark, write):
     path = write("p.csv", CATALOGUE)
     load(spark, path, LoadOptions(max_rows=41, max_columns=4))
-    for limit in ({"max_rows": 40}, {"max_columns": 3}):
+    load(spark, path, LoadOptions(max_bytes=len(CATALOGUE)))
+    for limit in ({"max_rows": 40}, {"max_columns": 3}, {"max_bytes": len(CATALOGUE) - 1}):
         with pytest.raises(TableError, match="more than"):
             load(spark, path, LoadOptions(**limit))
     for wrong in ({"decimal": "."*2}, {"delimiter": ""}):
