@@ -31,11 +31,16 @@ MORE_RULES = (
     Rule("maps", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # Header, lines of the key (with their own headers, which hold dashes), and the end mark if the text has one.
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=:,\\\x20\t\r\n]*(?:-[A-Za-z0-9+/=:,\\\x20\t\r\n]+){0,16}(?:-----END [A-Z ]*PRIVATE KEY-----)?",
+    ),
 )
 RULES = BASE_RULES + MORE_RULES
 MARK = "[SECRET]"
 SMALL_CLASS, MANY = 8, 256  # classes and sets of strings larger than this are not spelled out
+MASK_BITS = 62  # trigrams of a clause in one bit set
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
@@ -126,17 +131,21 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
     """doc_id and the rules of which some clause has all its trigrams in that document's postings.
 
-    Postings are intersected as bit sets, one per clause, combined before the shuffle: a row per document
-    and task crosses it, whatever the number of postings or rows of one id.
+    Postings are intersected as bit sets, one for every MASK_BITS trigrams of a clause, combined before the shuffle:
+    a row per document and task crosses it, whatever the number of postings or rows of one id.
     """
     clauses = [(kind, sorted(c)) for kind, query in queries.items() for c in query if c]
-    masks = []
-    for n, (_, clause) in enumerate(clauses):
-        bit = F.lit(0).cast("long")
-        for k, trigram in enumerate(clause):
-            bit = F.when(F.col("trigram") == trigram, F.lit(1 << k).cast("long")).otherwise(bit)
-        masks.append(F.bit_or(bit).alias(f"m{n}"))
-    full = [(kind, F.col(f"m{n}") == (1 << len(clause)) - 1) for n, (kind, clause) in enumerate(clauses)]
+    masks, full = [], []
+    for kind, clause in clauses:
+        hit = F.lit(True)
+        for first in range(0, len(clause), MASK_BITS):
+            bit, part = F.lit(0).cast("long"), clause[first : first + MASK_BITS]
+            for k, trigram in enumerate(part):
+                bit = F.when(F.col("trigram") == trigram, F.lit(1 << k).cast("long")).otherwise(bit)
+            name = f"m{len(masks)}"
+            masks.append(F.bit_or(bit).alias(name))
+            hit = hit & (F.col(name) == (1 << len(part)) - 1)
+        full.append((kind, hit))
     rules = F.array_distinct(F.array_compact(F.array(*[F.when(hit, F.lit(kind)) for kind, hit in full])))
     return index.groupBy("doc_id").agg(*masks).select("doc_id", rules.alias("rules")).where(F.size("rules") > 0)
 

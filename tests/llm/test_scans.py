@@ -14,7 +14,7 @@ from tabwright.llm.bytebpe import ByteCodec
 from tabwright.llm.chat import prefix_tree, read_back
 from tabwright.llm.langid import fit, predict
 from tabwright.llm.quality import judge
-from tabwright.llm.secrets import BASE_RULES, RULES, candidates, postings, redacted, scan, span_text, trigram_query
+from tabwright.llm.secrets import BASE_RULES, RULES, Rule, candidates, postings, redacted, scan, span_text, trigram_query
 from tabwright.session import Scratch
 
 PLANTED = [
@@ -125,6 +125,22 @@ def test_quality_counts_and_bands(docs_of, awkward):
     assert judge(docs_of([])).count() == 0
 
 
+def test_private_keys_go_with_their_bodies(docs_of):
+    body = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0F3A\n\n" + "MIIEow+/Ab9=\n" * 400
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"a {begin}{body}{end} b", f"{begin}{body}", f'"{begin}\\nMIIE\\n{end}\\n"', f"see {begin}. It (the mark) stays - clean.", f"{begin}{body}{end}\n" * 2, begin]
+    rows = scan(docs_of([(k, t, "en") for k, t in enumerate(texts)])).select("row.doc_id", redacted(F.col("row.text"), F.col("spans")).alias("clean")).collect()
+    got = {r.doc_id: r.clean for r in rows}
+    assert [got[k] for k in range(6)] == ["a [SECRET] b", "[SECRET]", '"[SECRET]\\n"', "see [SECRET]. It (the mark) stays - clean.", "[SECRET]\n[SECRET]\n", "[SECRET]"]
+
+
+def test_clauses_of_more_trigrams_than_a_long_has_bits(docs_of):
+    literal = "".join(f"{k:02d}x" for k in range(70))
+    texts = [f"say {literal} here", literal[:-1], literal[1:], None, literal * 2]
+    found = scan(docs_of([(k, t, "en") for k, t in enumerate(texts)]), (Rule("long", literal), Rule("short", "abc")))
+    assert {r.row.doc_id: [(s.start, s.end) for s in r.spans] for r in found.collect()} == {0: [(4, 214)], 1: [], 2: [], 3: [], 4: [(0, 210), (210, 420)]}
+
+
 TALK = st.text("ab<|\\>\nim_endstart🙂", max_size=20)
 
 
