@@ -20,6 +20,7 @@ RATE = 20.0
 TOP = (1 << 16) - 2  # registers hold 0 to TOP + 1
 BAND_ROWS = 6
 MISS = 1e-6  # a link of just the threshold shares no band with this probability at most
+RESTS = 2  # times that the texts of a bucket its hub is not linked with get a hub of their own
 ESTIMATE_SPREADS = 6  # a pair is confirmed unless its estimate is this many standard errors below the threshold
 
 
@@ -167,7 +168,8 @@ def differences():
 def open_pairs(apart: DataFrame, settings: Settings) -> DataFrame:
     """(a, b): pairs of one hub's texts, not both linked to it, that may be linked, smaller name first.
 
-    apart: a, b (hub), linked, size, hub_size, delta. With s for the sum of two sizes, a pair is linked if
+    apart: a, b (hub), linked, size, hub_size, delta, and root and hub_root, the components that a and b are known to
+    be in. Pairs within one component are left out before anything is joined. With s for the sum of two sizes, a pair is linked if
     its symmetric difference is at most c * s, c = (100 - percent) / (100 + percent). The difference of two
     texts is that of their deltas, so linked texts must share (|da| + |db| - c * s) / 2 elements of delta. As
     one of them differs from the hub by more than c * s, that is more than (|d| + c * (hub_size - size)) / 2 for
@@ -180,20 +182,34 @@ def open_pairs(apart: DataFrame, settings: Settings) -> DataFrame:
     half = F.floor((n + c * (F.col("hub_size") - F.col("size"))) / 2 - tiny) + 1
     short = (n - F.greatest(half, least, F.lit(1)) + 1).cast("int")
     long_ = (n - F.greatest(least, F.lit(1)) + 1).cast("int")
-    rows = apart.select("a", "b", "linked", short.alias("short"), long_.alias("long"), F.explode("delta").alias("e"))
+    rows = apart.select("a", "b", "linked", "root", "hub_root", short.alias("short"), long_.alias("long"), F.explode("delta").alias("e"))
     often = rows.groupBy("b", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # What only one text of the hub has comes first in its order and meets nothing: it only takes places.
-    common = rows.join(often, ["b", "e"]).groupBy("a", "b", "linked", "short", "long").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("d"))
-    alone = apart.select("a", "b", F.size("delta").alias("all"))
+    common = rows.join(often, ["b", "e"]).groupBy("a", "b", "linked", "root", "hub_root", "short", "long").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("d"))
+    alone = apart.select("a", "b", F.size("delta").alias("all"), "size")
     left = common.join(alone, ["a", "b"]).withColumn("own", F.col("all") - F.size("d"))
 
     def first(limit: str) -> DataFrame:
         taken = F.slice("d", 1, F.greatest(F.col(limit) - F.col("own"), F.lit(0)))
-        return left.select("a", "b", "linked", F.explode(taken).alias("x")).select("a", "b", "linked", "x.e")
-
-    big_long, big_short, small_short = first("long").where("not linked"), first("short").where("not linked"), first("short").where("linked")
-    mixed = big_long.select("a", "b", "e").join(small_short.select(F.col("a").alias("z"), "b", "e"), ["b", "e"])
-    both = big_short.select("a", "b", "e").join(big_short.select(F.col("a").alias("z"), "b", "e"), ["b", "e"]).where("a < z")
+        columns = ("a", "b", "linked", "root", "hub_root", "all", "size")
+        return left.select(*columns, F.explode(taken).alias("x")).select(*columns, "x.e")
+
+    # Two texts differ by no less than their distances from the hub do.
+    reach = F.abs(F.col("all") - F.col("all_z")) <= c * (F.col("size") + F.col("size_z")) + tiny
+    as_z = (F.col("a").alias("z"), "b", "e", F.col("all").alias("all_z"), F.col("size").alias("size_z"))
+
+    # What is linked to the hub is in its component, so a text of that component has no open pair with it.
+    big_long = first("long").where(~F.col("linked") & (F.col("root") != F.col("hub_root")))
+    small_short = first("short").where("linked").select(*as_z)
+    mixed = big_long.select("a", "b", "e", "all", "size").join(small_short, ["b", "e"]).where(reach)
+    # Of the others only those outside the component that most are in look for partners.
+    big_short = first("short").where(~F.col("linked")).select("a", "b", "e", "root", "all", "size")
+    parts = big_short.groupBy("b", "e", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("b", "e").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    loose = big_short.join(main.drop("parts"), ["b", "e"])
+    other = loose.select(*as_z, F.col("root").alias("root_z"))
+    both = loose.where(F.col("root") != F.col("main")).join(other, ["b", "e"]).where(reach)
+    both = both.where((F.col("root") != F.col("root_z")) & ((F.col("root_z") == F.col("main")) | (F.col("a") < F.col("z"))))
     found = mixed.select("a", "z").unionByName(both.select("a", "z"))
     return found.select(F.least("a", "z").alias("a"), F.greatest("a", "z").alias("b")).distinct()
 
@@ -204,7 +220,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Documents with the same set are one node. Nodes that share a band key are candidates. Each is first
     confirmed with the most central node of the bucket, its hub: a star. Two nodes of a bucket that are both
     linked to the hub need no link of their own. Any other pair can only be linked if its members differ from
-    the hub in the same places, so only pairs that share such a difference are confirmed, see open_pairs. The
+    the hub in the same places, so only pairs that share such a difference are confirmed, see open_pairs. Before
+    that, what is not linked to its hub is a bucket again, with a hub of its own, RESTS times: texts of one more template are
+    in one component then, and pairs within a component are not formed. The
     components are those of all candidate pairs, without all pairs of a group. Every link is confirmed on the
     full sets. A link of just the threshold is a candidate with a probability of 1 - 1e-6.
 
@@ -224,7 +242,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     shared = scratch.table(keys.join(sizes, "key"))
     # The text that meets most others is the likeliest original of its copies: the best hub of a bucket.
     central = shared.groupBy("name").agg(F.sum("size").alias("central"))
-    ranked = shared.join(central, "name")
+    ranked = scratch.table(shared.join(central, "name"))
     hubs = ranked.groupBy("key").agg(F.max(F.struct("central", "name"))["name"].alias("hub"))
     star = scratch.table(shared.join(hubs, "key").where(F.col("name") != F.col("hub")).select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct())
 
@@ -244,15 +262,22 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     tried = scratch.table(confirmed(star))
     scratch.drop(shared)
-    links = tried.where("linked").select("a", "b")
+    links, rest, last = tried.where("linked").select("a", "b"), ranked.join(hubs, "key"), tried
+    for _ in range(RESTS):
+        failed = last.where(~F.col("linked")).select(F.col("a").alias("name"), F.col("b").alias("hub"))
+        rest = rest.join(failed, ["name", "hub"], "left_semi").drop("hub")
+        next_hubs = rest.groupBy("key").agg(F.max(F.struct("central", "name"))["name"].alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        rest = scratch.table(rest.join(next_hubs, "key").where(F.col("name") != F.col("hub")))
+        last = scratch.table(confirmed(rest.select(F.col("name").alias("a"), F.col("hub").alias("b")).distinct()))
+        links = links.unionByName(last.where("linked").select("a", "b"))
     first = scratch.table(components(links, scratch))
     # A hub with one other text, or linked to all others, leaves no pair open.
     some = tried.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").select("b")
-    apart = scratch.table(with_sets(tried.join(some, "b")).select("a", "b", "linked", differences()(F.col("ma"), F.col("mb")).alias("d")).select("a", "b", "linked", "d.*"))
-    pairs = open_pairs(apart, settings)
-    roots = [first.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
-    crossed = pairs.join(roots[0], "a", "left").join(roots[1], "b", "left")
-    crossed = crossed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    apart = with_sets(tried.join(some, "b")).select("a", "b", "linked", differences()(F.col("ma"), F.col("mb")).alias("d")).select("a", "b", "linked", "d.*")
+    of_a, of_b = (first.select(F.col("node").alias(x), F.col("root").alias(name)) for x, name in (("a", "root"), ("b", "hub_root")))
+    apart = apart.join(of_a, "a", "left").join(of_b, "b", "left")
+    apart = scratch.table(apart.withColumn("root", F.coalesce("root", "a")).withColumn("hub_root", F.coalesce("hub_root", "b")))
+    crossed = open_pairs(apart, settings)
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = confirmed(crossed.join(known, ["a", "b"], "left_anti")).where("linked").select("a", "b")
     roots = components(links.unionByName(more), scratch)

@@ -80,6 +80,49 @@ def test_near_duplicates_equal_all_pairs(docs_of, awkward):
     assert near_duplicates(docs_of([])).count() == 0
 
 
+def test_pairs_of_other_templates_grow_in_proportion(docs_of, monkeypatch):
+    """Buckets hold a template and another one just below the threshold: the pairs to confirm besides the stars grow in
+    proportion to a template's texts. Texts of two templates that both fail with the hub are still compared where they
+    differ from it in the same places, which is why the third one here is allowed more."""
+    from tabwright.llm import near_duplicates as module
+
+    inner, counted = module.open_pairs, []
+
+    def counting(apart, settings):
+        found = inner(apart, settings)
+        counted.append(found.count())
+        return found
+
+    monkeypatch.setattr(module, "open_pairs", counting)
+
+    def family(draw, words, n, first):
+        out = []
+        for k in range(n):
+            own = list(words)
+            own[draw.randrange(len(own))] = f"own{first + k}"
+            out.append((first + k, " ".join(own), "en"))
+        return out
+
+    def pairs(n, third):
+        draw = random.Random(3)
+        one = [f"w{draw.randint(0, 10**6)}" for _ in range(300)]
+        two, three = list(one), list(one)
+        for k in range(0, 300, 20):
+            two[k] = f"two{k}"
+        for k in range(10, 300, 18):
+            three[k] = f"three{k}"
+        rows = family(draw, one, 2 * n, 0) + family(draw, two, n, 10_000) + (family(draw, three, n, 20_000) if third else [])
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows)).collect()}
+        sets = {i: {tuple(w[k : k + 3]) for k in range(298)} for i, t, _ in rows for w in [t.split()]}
+        near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+        assert near(0, 1) and not near(0, 10_000) and not (third and (near(0, 20_000) or near(10_000, 20_000)))
+        assert all(got[i] == i // 10_000 * 10_000 for i in got)
+        return counted.pop()
+
+    few, many, three = pairs(20, False), pairs(60, False), pairs(60, True)
+    assert many <= 3 * few + 60 and three < 60 * 59 // 2
+
+
 def test_registers_merge_and_estimate():
     draw = np.random.default_rng(1)
     a, b, c = (draw.integers(0, 2**63, n, dtype=np.uint64) for n in (900, 50, 50))
