@@ -278,3 +278,33 @@ def test_sketches_merge_and_estimate():
     assert (unpacked(packed(whole)) == whole).all()
     assert abs(distinct_count(whole) / len(points) - 1) < 0.3
     assert abs(resemblance(left, whole) - 0.5) < 0.15 and containment(left, whole) > 0.75
+
+
+def test_lines_of_one_passage_are_compared_in_tiles(spark, monkeypatch):
+    """Lines that share a passage and differ elsewhere: their pairs are not rows, whatever tiles they are dealt into."""
+    from tabwright.llm import lines as module
+
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnop") for _ in range(n))
+    passage = " ".join(word(7) for _ in range(40))
+    texts = [" ".join(word(6) for _ in range(draw.randint(6, 40))) + " " + passage for _ in range(90)]
+    texts += [t.replace(t[:5], "zzzzz", 1) for t in texts[::4]] + [" ".join(word(6) for _ in range(3)) + " " + passage for _ in range(12)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    inner, found = module.linked_in_tiles, []
+
+    def spied(loose, plain, similarity):
+        links = inner(loose, plain, similarity)
+        found.append((loose.count(), links.count()))
+        return links
+
+    monkeypatch.setattr(module, "linked_in_tiles", spied)
+
+    def gone(large, chars, per_tile):
+        for name, value in (("LARGE", large), ("TILE_CHARS", chars), ("TILE_ROWS", per_tile)):
+            monkeypatch.setattr(module, name, value)
+        return {r.row.doc_id for r in without_repeated_lines(rows).collect() if r.n_removed}
+
+    by_join = gone(10**9, 100_000, 250)
+    assert not found and len(by_join) >= 23
+    assert gone(2, 100_000, 250) == by_join and gone(2, 4_000, 10) == by_join
+    assert all(members > 50 for members, _ in found) and found[0][1] == found[1][1]
