@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -308,3 +309,39 @@ def test_lines_of_one_passage_are_compared_in_tiles(spark, monkeypatch):
     assert not found and len(by_join) >= 23
     assert gone(2, 100_000, 250) == by_join and gone(2, 4_000, 10) == by_join
     assert all(members > 50 for members, _ in found) and found[0][1] == found[1][1]
+
+
+def test_lines_leave_no_intermediate_tables(spark, monkeypatch):
+    """What lies in the shared folder at once is little beside the keys of all lines, in however many parts those and the texts go."""
+    from tabwright.llm import lines as module
+
+    draw = random.Random(21)
+    words = lambda n: " ".join("".join(draw.choices("abcdefghijklmnop", k=7)) for _ in range(n))
+    passage = words(30)
+    texts = ["\n".join(words(9) for _ in range(8)) for _ in range(300)]
+    texts += [t.replace(t[3], "é", 1) for t in texts[::3]]
+    texts += [f"{words(draw.randint(4, 20))} {passage}" for _ in range(60)]
+    texts += [t.replace(t[:5], "zzzzz", 1) for t in texts[-60::4]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder, inner, kept = Path(spark.conf.get("spark.checkpoint.dir")), module.Scratch.table, []
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+    def table(self, df):
+        out = inner(self, df)
+        kept.append(size())
+        return out
+
+    monkeypatch.setattr(module.Scratch, "table", table)
+
+    def found(**settings):
+        for name, value in settings.items():
+            monkeypatch.setattr(module, name, value)
+        kept.clear()
+        before = size()
+        result = without_repeated_lines(rows)
+        assert kept[0] - before > 100_000 and max(kept) - before < 1.5 * (kept[0] - before) and size() - before < 0.2 * (kept[0] - before)
+        return len(kept), {(r.row.doc_id, r.kept_text, r.n_removed) for r in result.collect()}
+
+    few, whole = found(KEY_PARTS=1, TEXT_PARTS=1, LARGE=8)
+    many, parts = found(KEY_PARTS=3, TEXT_PARTS=5, PART_CHARS=1)
+    assert parts == whole and sum(n for _, _, n in whole) >= 800 and many > few + 2 * 2 + 4
