@@ -282,9 +282,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     more = confirmed(crossed.join(known, ["a", "b"], "left_anti")).where("linked").select("a", "b")
     roots = components(links.unionByName(more), scratch)
 
-    rooted = scratch.table(sketched.drop("bands").join(roots.withColumnRenamed("node", "name"), "name", "left").select(
+    rooted = Scratch(spark).table(sketched.drop("bands").join(roots.withColumnRenamed("node", "name"), "name", "left").select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "name")).alias("root")
     ))
+    scratch.close()
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id"))
     named = rooted.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least_id")))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")

@@ -1,5 +1,8 @@
 """The pipeline: each stage's decision on its own input, and every id of what remains."""
 
+import re
+from pathlib import Path
+
 import pytest
 from compare import database, difference
 
@@ -42,3 +45,22 @@ def test_stages(spark, docs_of, awkward):
 def test_run_covers_what_the_stages_keep(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "secrets", "packing"]
+
+
+def test_near_duplicates_keep_one_table_and_deal_texts_once(spark, docs_of, awkward):
+    rows = awkward + [(None, "a null id with five words or more in it", "en"), (0, "a zero id with five words or more in it", "en"), (None, "a zero id with five words or more in it", "en")]
+    docs, folder = docs_of(rows), Path(spark.conf.get("spark.checkpoint.dir"))
+    tables, before = lambda: {*folder.glob("run-*/table-*")}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        there = tables()
+        after = corpus_pipeline.near_duplicate_documents(spark, docs, "unused")
+        assert len(tables() - there) == 1
+        plan = after._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not re.search(r"Exchange hashpartitioning\([^\n]*own_key", plan.partition("SortMergeJoin")[0])
+        kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in after.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # "one" stands under 4 and 5, and what id 0 has under a null id, which comes first.
+    assert {(i, t) for none, i, t in kept if not none} == {(i, t or "") for i, t, _ in awkward if i not in (None, 5)}
+    assert [t for none, _, t in kept if none] == ["", "a null id with five words or more in it", "a zero id with five words or more in it"]
